@@ -289,13 +289,13 @@ O["call_schedule"] = q(
     final=f"SELECT event_id AS call_id, event_type AS provider, start - a AS wait_us, "
     f"{iso('make_timestamp(start)')} AS starts_at FROM s",
 )
-O["attention_log"] = q(ATTENTION, final=f"SELECT {iso('at')} AS ts, url, reason, line FROM attention")
+O["attention_log"] = q(ATTENTION, final=f"SELECT {iso('seen')} AS ts, url, reason, line FROM attention")
 CUTOFF = "TIMESTAMP '2024-02-14 00:00:00' - to_days(30)"
 O["pruned_attention"] = q(
-    ATTENTION, final=f"SELECT url, line FROM attention WHERE at IS NULL OR at >= {CUTOFF}"
+    ATTENTION, final=f"SELECT url, line FROM attention WHERE seen IS NULL OR seen >= {CUTOFF}"
 )
 O["pruned_attention_count"] = q(
-    ATTENTION, final=f"SELECT count(*) AS removed FROM attention WHERE at < {CUTOFF}"
+    ATTENTION, final=f"SELECT count(*) AS removed FROM attention WHERE seen < {CUTOFF}"
 )
 O["health"] = q(
     STATE,
@@ -331,9 +331,9 @@ WHERE skill_path IS NOT NULL AND n % 2 = 1""",
 O["orphan_artifacts"] = q(
     *SUBS,
     STATE,
-    f"made AS (SELECT content_id, 'tmp/' || seq AS path, {START} + to_seconds(seq * 97 % 2000000) AS at FROM csub)",
-    final=f"SELECT m.content_id, path, {iso('at')} AS modified_at, status FROM made m LEFT JOIN state s "
-    f"ON s.content_id = m.content_id WHERE at < {AS_OF} - to_days(20)",
+    f"made AS (SELECT content_id, 'tmp/' || seq AS path, {START} + to_seconds(seq * 97 % 2000000) AS seen FROM csub)",
+    final=f"SELECT m.content_id, path, {iso('seen')} AS modified_at, status FROM made m LEFT JOIN state s "
+    f"ON s.content_id = m.content_id WHERE seen < {AS_OF} - to_days(20)",
 )
 
 # --- Media --------------------------------------------------------------------------------
@@ -524,17 +524,21 @@ def js(x: str) -> str:
     return f"CAST(to_json({x}) AS VARCHAR)"
 
 
-CHAT = f"""'{{"model":"model-x","max_tokens":4096,"messages":[{{"role":"user","content":' || {{}} || '}}]'"""
+def chat(content: str) -> str:
+    head = '{"model":"model-x","max_tokens":4096,"messages":[{"role":"user","content":'
+    return f"{lit(head)} || {content} || '}}]'"
+
+
 O["model_requests"] = q(
     FILLED,
     f"asked AS (SELECT *, {listed(PROVIDERS)}[doc_id % 5 + 1] AS provider, {JOINED} AS joined FROM prompts)",
     final=f"""SELECT doc_id, provider, CASE provider
-  WHEN 'anthropic' THEN {CHAT.format(js('prompt'))} || CASE WHEN static_prefix <> '' THEN ',"system":[{{"type":"text","text":'
+  WHEN 'anthropic' THEN {chat(js('prompt'))} || CASE WHEN static_prefix <> '' THEN ',"system":[{{"type":"text","text":'
     || {js('static_prefix')} || ',"cache_control":{{"type":"ephemeral"}}}}]' ELSE '' END || '}}'
   WHEN 'ollama' THEN '{{"model":"model-x","prompt":' || {js('joined')} || ',"stream":false,"options":{{"num_predict":4096,"num_ctx":16384}}}}'
   WHEN 'gemini' THEN '{{"contents":[{{"parts":[{{"text":' || {js('joined')}
     || '}}]}}],"generationConfig":{{"maxOutputTokens":4096,"response_mime_type":"application/json"}}}}'
-  ELSE {CHAT.format(js('joined'))} || ',"response_format":{{"type":"json_object"}}}}' END AS request FROM asked""",
+  ELSE {chat(js('joined'))} || ',"response_format":{{"type":"json_object"}}}}' END AS request FROM asked""",
 )
 O["model_answers"] = q(
     f"""r AS (

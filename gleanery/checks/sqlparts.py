@@ -269,7 +269,7 @@ def reason_sql(status: str, count: str, error: str) -> str:
 ATTENTION = rf"""
 att_raw AS (
   SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'yesterday' ELSE {iso('ts')} END AS stamp,
-    CASE WHEN event_id % 50 <> 0 THEN ts END AS at, 'https://e/' || event_id AS url, event_type AS reason
+    CASE WHEN event_id % 50 <> 0 THEN ts END AS seen, 'https://e/' || event_id AS url, event_type AS reason
   FROM events),
 attention AS (SELECT *, stamp || chr(9) || url || chr(9) || reason AS line FROM att_raw)""".strip()
 
