@@ -877,14 +877,14 @@ def state_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def state_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State rows of one JSON document per row, as an older version wrote them."""
+    """State rows as one JSON document per line, as an older version wrote them."""
     record = F.to_json(
         F.struct("content_id", "url", "normalized_url", "source", "status", "added_at", "updated_at")
     )
     path = scratch(spark, "documents")
     document = text('{"items": {"', F.col("content_id"), '": ', record, "}}")
     I.state(spark, sf_dir).select(document.alias("value")).write.text(path)
-    return shown_state(storage.read_state_json(spark, path))
+    return shown_state(storage.read_state_json(spark, path, one_document=False))
 
 
 @query
@@ -942,7 +942,7 @@ def streamed_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream.withColumn("source", F.lit("webhook")),
         f"{root}/state", f"{root}/added", f"{root}/attention", POLICY, AS_OF,
     )
-    writer.option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
+    jobs.drain(writer.option("checkpointLocation", f"{root}/ck"), spark)
     added = storage.read_batches(spark, f"{root}/added")
     return shown_state(added)
 
@@ -951,18 +951,13 @@ def streamed_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The attempt log as a stream with a timer per item."""
     root = scratch(spark, "retries")
-    I.attempts(spark, sf_dir).coalesce(1).sortWithinPartitions("attempt_ts").write.parquet(f"{root}/in")
+    log = I.attempts(spark, sf_dir).repartition("content_id")
+    log.sortWithinPartitions("content_id", "attempt_ts").write.parquet(f"{root}/in")
     schema = spark.read.parquet(f"{root}/in").schema
     stream = spark.readStream.schema(schema).parquet(f"{root}/in")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        events = jobs.stream_retries(stream, POLICY).writeStream.format("parquet").outputMode("append")
-        events = events.option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck")
-        events.trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(provider, before)
+    events = jobs.stream_retries(stream, POLICY).writeStream.format("parquet").outputMode("append")
+    events = events.option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck")
+    jobs.drain(events, spark)
     out = spark.read.parquet(f"{root}/out")
     return out.select("content_id", "event", "attempt_count", shown("at").alias("at"), "error")
 
@@ -974,7 +969,7 @@ def streamed_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     state.select("content_id", "status").write.parquet(f"{root}/changes")
     stream = spark.readStream.schema("content_id STRING, status STRING").parquet(f"{root}/changes")
     writer = jobs.stream_health(stream, f"{root}/state", f"{root}/added", f"{root}/out")
-    writer.option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
+    jobs.drain(writer.option("checkpointLocation", f"{root}/ck"), spark)
     last = storage.finished_versions(spark, f"{root}/out", "batch")[-1]
     read = spark.read.parquet(f"{root}/out/batch={last}")
     return read.withColumn("last_success_at", shown("last_success_at"))

@@ -226,9 +226,8 @@ def rate_limit_waits(responses: DataFrame) -> DataFrame:
     told = strip(F.coalesce(F.try_element_at("headers", F.lit("retry-after")), F.lit("")))
     number = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
     asked = F.when(told.rlike(number), told.try_cast("double"))
-    wait = F.coalesce(
-        F.greatest(asked, F.lit(0.0)), F.lit(BASE_WAIT) * F.pow(F.lit(2.0), F.col("attempt"))
-    )
+    doubling = F.lit(BASE_WAIT) * F.pow(F.lit(2.0), F.col("attempt"))
+    wait = F.when(asked.isNull(), doubling).otherwise(F.greatest(asked, F.lit(0.0)))
     limited = F.col("status") == RATE_LIMITED
     stop = (F.col("wait_seconds") > LONGEST_WAIT) | (F.col("attempt") >= WAIT_RETRIES)
     return responses.withColumn("wait_seconds", F.when(limited, wait)).withColumn(

@@ -98,13 +98,13 @@ def list_media(spark: SparkSession, root: str) -> DataFrame:
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).drop("content")
     )
-    inside = F.regexp_extract("path", F.lit(r"/([^/]+)/[^/]+\z"), F.lit(1))
+    inside = F.regexp_extract("path", r"/([^/]+)/[^/]+\z", 1)
     base = root.rstrip("/").rsplit("/", 1)[-1]
-    owner = F.regexp_extract("path", F.lit(rf"/{base}/([^/]+)/"), F.lit(1))
+    owner = F.regexp_extract("path", rf"/{base}/([^/]+)/", 1)
     return files.select(
         F.coalesce(F.nullif(owner, F.lit("")), inside).alias("content_id"),
         "path",
-        F.lower(F.regexp_extract("path", F.lit(r"(\.[^./]+)\z"), F.lit(1))).alias("suffix"),
+        F.lower(F.regexp_extract("path", r"(\.[^./]+)\z", 1)).alias("suffix"),
         F.col("modificationTime").alias("modified_at"),
         "length",
     )

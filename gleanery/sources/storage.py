@@ -53,15 +53,17 @@ def write_state(state: DataFrame, path: str) -> int:
     return number
 
 
-def read_state_json(spark: SparkSession, path: str) -> DataFrame:
-    """State kept as one JSON document {"items": {content_id: record}}.
+def read_state_json(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
+    """State kept as JSON documents {"items": {content_id: record}}.
 
-    JSON read as one document is one task's work; this is the import of a small table.
+    A file that is one document over many lines is one task's work, so that form is the
+    import of a small table; documents of one line each are read in splits.
     """
     if not exists(spark, path):
         return spark.createDataFrame([], parse(STATE))
     record = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in parse(STATE))
-    document = spark.read.schema(f"items MAP<STRING, STRUCT<{record}>>").option("multiLine", True).json(path)
+    reader = spark.read.schema(f"items MAP<STRING, STRUCT<{record}>>")
+    document = reader.option("multiLine", one_document).json(path)
     items = document.select(F.explode("items").alias("key", "record"))
     return conform_state(items.select("record.*"))
 

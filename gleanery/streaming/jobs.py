@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gleanery.operators.lifecycle import pipeline_health
 from gleanery.operators.registry import register_urls
@@ -63,88 +61,78 @@ def stream_register(
     return stream.writeStream.foreachBatch(register)
 
 
-class RetryTimers(StatefulProcessor):
-    """Per item: failures in a row, the time of the next try, and whether it is given up."""
-
-    def __init__(self, max_attempts: int, backoff_minutes: tuple[int, ...]) -> None:
-        self.max_attempts = max_attempts
-        self.backoff_minutes = backoff_minutes
+def stream_retries(attempts: DataFrame, policy: Policy) -> DataFrame:
+    """Retry events of an attempt stream: an item again when its backoff ends, or given up.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("retry", RETRY_STATE)
+    ``attempts`` is (content_id, attempt_id, attempt_ts, kind, ok, error). State per item is
+    four values however many attempts it has; its rows pass through in batches. A backoff
+    that has already ended is reported at once, any other by a processing-time timeout.
 
-    def _load(self) -> tuple[int, str | None, int | None, bool]:
-        return tuple(self.state.get()) if self.state.exists() else (0, None, None, False)
+    Timeouts ask for a batch even when no data came, for ever; use ``drain`` to run such a
+    query over what is there and stop.
+    """
+    max_attempts, schedule = policy.max_attempts, policy.backoff_minutes
 
-    def _cancel(self, due_us: int | None) -> None:
-        if due_us is not None:
-            self.handle.deleteTimer(due_us // 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        count, error, due_us, gave_up = self._load()
-        for part in rows:
-            for row in part.sort_values(["attempt_ts", "attempt_id"]).itertuples(index=False):
-                if row.kind == "reset":
-                    self._cancel(due_us)
-                    count, error, due_us, gave_up = 0, None, None, False
-                elif gave_up:
-                    continue
-                elif row.ok:
-                    self._cancel(due_us)
-                    count, error, due_us = 0, None, None
-                else:
-                    self._cancel(due_us)
-                    count, error, due_us = count + 1, row.error, None
-                    if count >= self.max_attempts:
-                        gave_up = True
-                        yield self._event(key[0], "gave_up", count, row.attempt_ts, error)
-                    else:
-                        minutes = self.backoff_minutes[min(count, len(self.backoff_minutes)) - 1]
-                        due = row.attempt_ts + timedelta(minutes=minutes)
-                        due_us = int(due.tz_localize("UTC").value // 1000)
-                        self.handle.registerTimer(due_us // 1000)
-        self.state.update((count, error, due_us, gave_up))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        count, error, due_us, gave_up = self._load()
-        if due_us is None or gave_up or expiredTimerInfo.getExpiryTimeInMs() != due_us // 1000:
-            return
-        self.state.update((count, error, None, gave_up))
-        yield self._event(key[0], "retry", count, pd.Timestamp(due_us, unit="us"), error)
-
-    @staticmethod
-    def _event(item: str, event: str, count: int, at: pd.Timestamp, error: str | None) -> pd.DataFrame:
+    def event(item: str, name: str, count: int, at_us: int, error: str | None) -> pd.DataFrame:
         return pd.DataFrame(
             {
                 "content_id": [item],
-                "event": [event],
+                "event": [name],
                 "attempt_count": pd.array([count], dtype="int32"),
-                "at": [at],
+                "at": [pd.Timestamp(at_us, unit="us")],
                 "error": [error],
             }
         )
 
-    def close(self) -> None:
-        pass
-
-
-def stream_retries(attempts: DataFrame, policy: Policy) -> DataFrame:
-    """Retry events of an attempt stream: an item again when its backoff ends, or given up.
+    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        item = key[0]
+        count, error, due_us, gave_up = state.get if state.exists else (0, None, None, False)
+        if not state.hasTimedOut:
+            for part in parts:
+                for row in part.sort_values(["attempt_ts", "attempt_id"]).itertuples(index=False):
+                    at_us = row.attempt_ts.value // 1000
+                    if row.kind == "reset":
+                        count, error, due_us, gave_up = 0, None, None, False
+                    elif gave_up:
+                        continue
+                    elif row.ok:
+                        count, error, due_us = 0, None, None
+                    else:
+                        count, error, due_us = count + 1, row.error, None
+                        if count >= max_attempts:
+                            gave_up = True
+                            yield event(item, "gave_up", count, at_us, error)
+                        else:
+                            minutes = schedule[min(count, len(schedule)) - 1]
+                            due_us = at_us + minutes * 60_000_000
+        now_us = state.getCurrentProcessingTimeMs() * 1000
+        if due_us is not None and due_us <= now_us:
+            yield event(item, "retry", count, due_us, error)
+            due_us = None
+        state.update((count, error, due_us, gave_up))
+        if due_us is not None:
+            state.setTimeoutDuration(-(-(due_us - now_us) // 1000))
 
-    State per item is four values whatever the number of its attempts. Needs the RocksDB
-    state store (``spark.sql.streaming.stateStore.providerClass``).
-    """
-    # The processor travels with the query, so executors need no copy of this package.
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    return attempts.groupBy("content_id").transformWithStateInPandas(
-        statefulProcessor=RetryTimers(policy.max_attempts, policy.backoff_minutes),
+    return attempts.groupBy("content_id").applyInPandasWithState(
+        follow,
         outputStructType=RETRY_EVENTS,
+        stateStructType=RETRY_STATE,
         outputMode="append",
-        timeMode="processingTime",
+        timeoutConf=GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
+def drain(writer: DataStreamWriter, spark: SparkSession) -> None:
+    """Run a query over everything available now, then stop."""
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+
+
 def stream_health(changes: DataFrame, state_path: str, added_path: str, out_path: str) -> DataStreamWriter:
     """Recompute health from the tables whenever a micro-batch of changes arrives."""
 
