@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.functions.text import quoted, strip
+from gleanery.operators.once import computed_once
 from gleanery.schemas import parse
 
 # Marker between the shared and the per-call part of a prompt.
@@ -174,7 +175,7 @@ def strip_reasoning(responses: DataFrame, text: str = "text") -> DataFrame:
 
 def read_model_responses(responses: DataFrame) -> DataFrame:
     """Add ``text`` and ``error`` for answers (content_id, provider, payload as JSON text)."""
-    staged = responses.withColumn("_doc", F.try_parse_json("payload"))
+    staged = computed_once(responses, {"_doc": F.try_parse_json("payload")})
     doc, provider = F.col("_doc"), F.col("provider")
 
     def joined_texts(path: str, only_text_blocks: bool) -> Column:
@@ -209,7 +210,7 @@ def read_model_responses(responses: DataFrame) -> DataFrame:
     reason = F.try_variant_get(doc, "$.candidates[0].finishReason", "string")
     exhausted = (provider == "gemini") & F.coalesce(reason == "MAX_TOKENS", F.lit(False))
     nothing = F.concat(label, F.lit(" response had no text content: "), F.col("payload"))
-    read = staged.withColumn("text", text)
+    read = computed_once(staged, {"text": text})
     error = F.when(empty & exhausted, F.lit(EXHAUSTED)).when(empty, nothing)
     return (
         read.withColumn("error", error)
@@ -255,11 +256,12 @@ def parse_enrichments(answers: DataFrame, text: str = "text") -> DataFrame:
     braces. Types are strict: a number is not a title, a null is not a list.
     """
     fenced = F.regexp_replace(strip(F.col(text)), r"(?m)^```(?:json)?\s*|\s*```$", "")
-    staged = answers.withColumn("_body", strip(fenced))
+    staged = computed_once(answers, {"_body": strip(fenced)})
     inner = F.nullif(F.regexp_extract("_body", r"(?s)\{.*\}", 0), F.lit(""))
-    staged = staged.withColumn("_whole", F.try_parse_json("_body"))
-    staged = staged.withColumn(
-        "_doc", F.coalesce("_whole", F.when(F.col("_whole").isNull(), F.try_parse_json(inner)))
+    staged = computed_once(staged, {"_whole": F.try_parse_json("_body")})
+    staged = computed_once(
+        staged,
+        {"_doc": F.coalesce("_whole", F.when(F.col("_whole").isNull(), F.try_parse_json(inner)))},
     )
     doc = F.col("_doc")
 
@@ -299,7 +301,7 @@ def parse_enrichments(answers: DataFrame, text: str = "text") -> DataFrame:
         .when(flag.isNull(), F.lit("high_signal: not a boolean"))
         .when(~reason_ok, F.lit("skill_candidate_reason: not a string"))
     )
-    checked = staged.withColumn("error", problem)
+    checked = computed_once(staged, {"error": problem})
     good = F.col("error").isNull()
     values = {
         "title": F.try_variant_get(doc, "$.title", "string"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.durable import durable
 from gleanery.operators.gather import PART_CHARS, gather_text
-from gleanery.operators.lookup import lookup
+from gleanery.operators.lookup import hot_slices, sliced_join
 from gleanery.operators.ordered import HOT_ROWS
 
 # Block types whose title is a file name, linked databases, mention marks.
@@ -76,36 +76,37 @@ def reading_order(blocks: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     none does; a tree needs as many rounds as it has levels. Rounds are written out, since
     each feeds the next.
     """
+    key = ["page_id", "block_id"]
     edges = durable(
         blocks.filter("parent_id IS NOT NULL").select("page_id", "parent_id", "pos", "block_id")
     )
-    best = durable(
-        blocks.filter("parent_id IS NULL")
-        .select("page_id", "block_id")
-        .distinct()
-        .withColumn("path", F.array().cast("array<int>"))
-        .withColumn("ids", F.array("block_id"))
+    slices = hot_slices(edges, ["page_id", "parent_id"], hot_rows)
+    roots = blocks.filter("parent_id IS NULL").select(*key).distinct()
+    changed = durable(
+        roots.withColumn("path", F.array().cast("array<int>")).withColumn("ids", F.array("block_id"))
     )
-    changed = best
+    found = changed.select(*key, "path")
     while True:
         frontier = changed.select("page_id", F.col("block_id").alias("parent_id"), "path", "ids")
-        steps = lookup(edges, frontier, ["page_id", "parent_id"], ["pos"], "inner", hot_rows)
+        steps = sliced_join(edges, frontier, ["page_id", "parent_id"], ["pos"], "inner", slices)
         longer = (
             steps.filter(~F.array_contains("ids", F.col("block_id")))
             .withColumn("path", F.concat("path", F.array(F.col("pos").cast("int"))))
             .withColumn("ids", F.concat("ids", F.array("block_id")))
-            .groupBy("page_id", "block_id")
-            .agg(F.min(F.struct("path", "ids")).alias("_new"))
+            .groupBy(*key)
+            .agg(F.min(F.struct("path", "ids")).alias("new"))
+            .select(*key, "new.*")
         )
-        old = best.select("page_id", "block_id", F.col("path").alias("_old"))
-        better = longer.join(old, ["page_id", "block_id"], "left").filter(
-            F.col("_old").isNull() | (F.col("_new.path") < F.col("_old"))
+        known = found.select(*(F.col(c).alias(f"_{c}") for c in found.columns))
+        no_worse = (
+            (F.col("page_id") == F.col("_page_id"))
+            & (F.col("block_id") == F.col("_block_id"))
+            & (F.col("_path") <= F.col("path"))
         )
-        changed = durable(better.select("page_id", "block_id", "_new.path", "_new.ids"))
+        changed = durable(longer.join(known, no_worse, "left_anti"))
         if changed.isEmpty():
-            return best.select("page_id", "block_id", "path")
-        kept = best.join(changed, ["page_id", "block_id"], "left_anti")
-        best = durable(kept.unionByName(changed))
+            return found.groupBy(*key).agg(F.min("path").alias("path"))
+        found = found.unionByName(changed.select(*key, "path"))
 
 
 def block_lines(blocks: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

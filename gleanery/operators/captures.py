@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import urls as U
 from gleanery.functions.html import main_region, to_lines, without_noise
 from gleanery.functions.text import contains_any, quoted, strip
+from gleanery.operators.once import computed_once
 from gleanery.policy import (
     BLOCK_PAGE_DOMAINS,
     CODE_DOMAINS,
@@ -42,13 +43,10 @@ BINARY_NOTE = (
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
-    """Add the main text of each page. Every step reads the step before it once."""
-    return (
-        pages.withColumn("_clean", without_noise(F.coalesce(F.col(html), F.lit(""))))
-        .withColumn("_region", main_region(F.col("_clean")))
-        .withColumn(out, to_lines(F.col("_region")))
-        .drop("_clean", "_region")
-    )
+    """Add the main text of each page; each step is computed once, whatever reads it."""
+    clean = computed_once(pages, {"_clean": without_noise(F.coalesce(F.col(html), F.lit("")))})
+    region = computed_once(clean, {"_region": main_region(F.col("_clean"))})
+    return computed_once(region, {out: to_lines(F.col("_region"))}).drop("_clean", "_region")
 
 
 def gate_captures(captures: DataFrame, text: str = "text") -> DataFrame:
@@ -66,7 +64,7 @@ def gate_captures(captures: DataFrame, text: str = "text") -> DataFrame:
         .when(shell, "app_shell")
         .otherwise("ok")
     )
-    return captures.withColumn("gate", gate)
+    return computed_once(captures, {"gate": gate})
 
 
 def _gate_error(url: Column, rendered: bool) -> Column:
@@ -133,7 +131,9 @@ def merge_captures(plain: DataFrame, rendered: DataFrame) -> DataFrame:
 def decode_documents(responses: DataFrame, body: str = "body") -> DataFrame:
     """Add ``text`` and ``error`` for fetched files: UTF-8 text as is, HTML exports as main text."""
     readable = F.is_valid_utf8(F.col(body).cast("string"))
-    decoded = responses.withColumn("_plain", F.when(readable, F.col(body).cast("string")))
+    decoded = computed_once(
+        responses, {"_plain": F.when(readable, F.col(body).cast("string"))}
+    )
     opening = F.lower(F.substring(strip(F.col("_plain")), 1, 15))
     html = opening.startswith("<!doctype html") | opening.startswith("<html")
     paged = extract_main_text(

@@ -33,7 +33,8 @@ def file_name(slug_col: Column, number: Column) -> Column:
 def assign_note_names(
     items: DataFrame, notes: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Add ``note_name``: <slug>.md, or the first free <slug>-2.md, <slug>-3.md, ...
+    """Rows (content_id, title, added_at, folder, slug, note_name): <slug>.md, or the first
+    free of <slug>-2.md, <slug>-3.md, ...
 
     ``items`` is (content_id, title, added_at, folder); ``notes`` is (folder, note_name,
     owner) of the files already there. A file without owner counts as free. Names are handed
@@ -41,8 +42,11 @@ def assign_note_names(
     name can only clash with a slug that has one ending more); in a slug, items that own a
     file by its number, then new items by (added_at, content_id).
     """
-    slugged = slugify_titles(items).withColumn(
-        "_depth", F.size(F.split(F.regexp_extract("slug", NUMBER_TAIL, 1), "-")) - 1
+    # The few columns that naming needs are written out: several passes read them.
+    slugged = durable(
+        slugify_titles(items.select("content_id", "title", "added_at", "folder")).withColumn(
+            "_depth", F.size(F.split(F.regexp_extract("slug", NUMBER_TAIL, 1), "-")) - 1
+        )
     )
     depths = sorted(r[0] for r in slugged.select("_depth").distinct().collect())
     owned = notes.filter("owner IS NOT NULL").select(
@@ -57,6 +61,8 @@ def assign_note_names(
             "owner",
         )
     )
+    wanted = slugged.select("folder", "slug").distinct()
+    taken = durable(taken.join(wanted, ["folder", "slug"], "left_semi"))
     named, claimed = None, None
     for depth in depths:
         level = slugged.filter(F.col("_depth") == depth)
@@ -249,7 +255,9 @@ def organize_notes(state: DataFrame, notes: DataFrame, hot_rows: int = HOT_ROWS)
         folder.alias("folder"), name.alias("note_name"), F.coalesce("owner", "holder").alias("owner")
     )
     target = F.concat("folder", "note_name")
-    moved = assign_note_names(ours, present, hot_rows).filter(target != F.col("note_path"))
+    paths = ours.select("content_id", "note_path")
+    named = assign_note_names(ours, present, hot_rows).join(paths, "content_id")
+    moved = named.filter(target != F.col("note_path"))
     moves = moved.select(
         "content_id",
         "note_path",

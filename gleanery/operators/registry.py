@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.text import iso_utc
 from gleanery.operators.lookup import lookup
+from gleanery.operators.once import computed_once
 from gleanery.operators.urls import classify_urls, validate_urls
 from gleanery.policy import REFUSED_STATUSES, TERMINAL_STATUSES, Policy
 from gleanery.schemas import STATE, parse
@@ -32,12 +33,13 @@ def screen_submissions(
     """
     judged = classify_urls(validate_urls(submissions, policy), policy, probes)
     as_text = ~F.col("ok") & ~F.col("blocked") & F.coalesce(F.col("kind") == "text", F.lit(False))
-    return judged.withColumns(
+    return computed_once(
+        judged,
         {
             "accepted": F.col("ok") | as_text,
             "content_id": F.when(F.col("content_id") != "", F.col("content_id")).otherwise(F.col("url")),
             "content_kind": F.when(F.col("ok") | as_text, F.coalesce("kind", F.lit("media"))).otherwise("media"),
-        }
+        },
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import urls as U
 from gleanery.functions.text import quoted, strip
+from gleanery.operators.once import computed_once
 from gleanery.policy import PROBED_HOST, Policy
 
 BLOCKED_NOTE = (
@@ -18,7 +19,7 @@ INLINE_DOMAINS = 200
 
 
 def _with_url(df: DataFrame, url: str) -> DataFrame:
-    return df.withColumn("_url", U.split_url(F.col(url)))
+    return computed_once(df, {"_url": U.split_url(F.col(url))})
 
 
 def canonicalize_urls(df: DataFrame, url: str = "url") -> DataFrame:
@@ -85,11 +86,12 @@ def _verdict(u: Column, host: Column, policy: Policy) -> Column:
 
 def validate_urls(df: DataFrame, policy: Policy, url: str = "url") -> DataFrame:
     """Add ``ok, normalized_url, content_id, reason, blocked`` for each URL."""
-    staged = (
-        _with_url(df, url)
-        .withColumn("_host", U.host(F.col("_url")))
-        .withColumn("_verdict", _verdict(F.col("_url"), F.col("_host"), policy))
-        .withColumn("_canonical", U.canonical(F.col("_url")))
+    hosted = computed_once(
+        _with_url(df, url),
+        {"_host": U.host(F.col("_url")), "_canonical": U.canonical(F.col("_url"))},
+    )
+    staged = computed_once(
+        hosted, {"_verdict": _verdict(F.col("_url"), F.col("_host"), policy)}
     )
     verdict, domain = F.col("_verdict"), U.domain(F.col("_host"))
     shaped = ~verdict.isin("empty", "malformed")
@@ -115,7 +117,7 @@ def classify_urls(
     df: DataFrame, policy: Policy, probes: DataFrame | None = None, url: str = "url"
 ) -> DataFrame:
     """Add ``kind``: media, text, or null when nothing may capture the URL."""
-    staged = _with_url(df, url).withColumn("_host", U.host(F.col("_url")))
+    staged = computed_once(_with_url(df, url), {"_host": U.host(F.col("_url"))})
     host = F.col("_host")
     refused = (
         U.in_domains(host, policy.text_blocked_domains) | (host == "localhost") | U.is_local(host)
@@ -129,7 +131,8 @@ def classify_urls(
         .when(refused, F.lit(None).cast("string"))
         .otherwise(F.lit("text"))
     )
-    return classify_by_probe(staged.withColumn("kind", kind).drop("_url", "_host"), probes, url)
+    known = computed_once(staged, {"kind": kind}).drop("_url", "_host")
+    return classify_by_probe(known, probes, url)
 
 
 def classify_by_probe(
@@ -143,10 +146,11 @@ def classify_by_probe(
     if probes is None:
         return df.withColumn(kind, F.when(open_kind, F.lit("text")).otherwise(F.col(kind)))
     found = probes.filter("probe_ok").select(F.col("url").alias("_probed")).distinct()
-    # Only ambiguous rows carry a join key; the rest never leave their partition's null side.
-    key = F.when(open_kind, strip(F.col(url)))
     settled = F.when(F.col("_probed").isNotNull(), F.lit("media")).otherwise(F.lit("text"))
-    ambiguous = df.filter(open_kind).join(found, key == F.col("_probed"), "left")
+    # Only rows of the ambiguous host are joined. The scan drops all others by a plain
+    # substring test, so the second branch costs little.
+    maybe = df.filter(F.lower(url).contains(PROBED_HOST)).filter(open_kind)
+    ambiguous = maybe.join(found, strip(F.col(url)) == F.col("_probed"), "left")
     ambiguous = ambiguous.withColumn(kind, settled).drop("_probed")
     return df.filter(~F.coalesce(open_kind, F.lit(False))).unionByName(ambiguous)
 
