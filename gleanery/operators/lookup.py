@@ -38,9 +38,8 @@ def sliced_join(
     hot = F.broadcast(slices)
     width = F.coalesce(F.col("_slices"), F.lit(1))
     cut = facts.join(hot, keys, "left").withColumn("_slice", F.pmod(F.xxhash64(*spread), width))
-    copies = dim.join(hot, keys, "left").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), width - 1)).cast("long")
-    )
+    numbers = F.sequence(F.lit(0).cast("long"), (width - 1).cast("long"))
+    copies = dim.join(hot, keys, "left").withColumn("_slice", F.explode(numbers))
     joined = cut.drop("_slices").join(copies.drop("_slices"), [*keys, "_slice"], how)
     return joined.drop("_slice")
 

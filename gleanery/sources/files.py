@@ -98,11 +98,10 @@ def list_media(spark: SparkSession, root: str) -> DataFrame:
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).drop("content")
     )
-    inside = F.regexp_extract("path", r"/([^/]+)/[^/]+\z", 1)
-    base = root.rstrip("/").rsplit("/", 1)[-1]
-    owner = F.regexp_extract("path", rf"/{base}/([^/]+)/", 1)
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()
+    owner = F.regexp_extract("path", rf"\Q{base}\E/([^/]+)/", 1)
     return files.select(
-        F.coalesce(F.nullif(owner, F.lit("")), inside).alias("content_id"),
+        owner.alias("content_id"),
         "path",
         F.lower(F.regexp_extract("path", r"(\.[^./]+)\z", 1)).alias("suffix"),
         F.col("modificationTime").alias("modified_at"),
