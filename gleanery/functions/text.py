@@ -7,12 +7,16 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[\s\x1c-\x1f]"
+# Every white-space character.
+SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(c: Column) -> Column:
     """Drop all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(c, rf"(?U)\A{SPACE}++|{SPACE}++\z", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def quoted(c: Column) -> Column:

@@ -255,8 +255,10 @@ def parse_enrichments(answers: DataFrame, text: str = "text") -> DataFrame:
     Code fences go first, then the text must be JSON, or hold JSON between its outermost
     braces. Types are strict: a number is not a title, a null is not a list.
     """
-    fenced = F.regexp_replace(strip(F.col(text)), r"(?m)^```(?:json)?\s*|\s*```$", "")
-    staged = computed_once(answers, {"_body": strip(fenced)})
+    bare = strip(F.col(text))
+    unfenced = F.regexp_replace(bare, r"(?m)^```(?:json)?\s*|\s*```$", "")
+    body = F.when(bare.contains("```"), strip(unfenced)).otherwise(bare)
+    staged = computed_once(answers, {"_body": body})
     inner = F.nullif(F.regexp_extract("_body", r"(?s)\{.*\}", 0), F.lit(""))
     staged = computed_once(staged, {"_whole": F.try_parse_json("_body")})
     staged = computed_once(

@@ -1,8 +1,10 @@
 """The whole batch and the streams."""
 
+import sys
 from datetime import timedelta
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from gleanery.operators.urls import assign_content_ids, canonicalize_urls
@@ -12,6 +14,9 @@ from gleanery.schemas import STATE, SUBMISSIONS, parse
 from gleanery.sources import storage
 from gleanery.streaming import jobs
 
+# Workers cannot import test modules, so their functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PAGE = "<html><body><article><p>" + "useful words " * 20 + "</p></article></body></html>"
 PROMPTS = {"text": "{{transcript}}", "media": "{{transcript}}", "skill": "{{title}}"}
 
@@ -105,7 +110,7 @@ def test_retry_stream_waits_and_gives_up(spark, tmp_path):
     root = str(tmp_path)
     schema = "content_id STRING, attempt_id LONG, attempt_ts TIMESTAMP, kind STRING, ok BOOLEAN, error STRING"
     rows = [("a", 1, False), ("a", 2, False), ("b", 3, False), ("b", 4, True), ("c", 5, False)]
-    df = spark.createDataFrame([(c, i, pd.Timestamp("2026-01-01") + pd.Timedelta(seconds=i), "attempt", ok, "e") for c, i, ok in rows], schema)
+    df = spark.createDataFrame([(c, i, (pd.Timestamp("2026-01-01") + pd.Timedelta(seconds=i)).to_pydatetime(), "attempt", ok, "e") for c, i, ok in rows], schema)
     df.coalesce(1).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{root}/in")
     out = jobs.stream_retries(stream, Policy(max_attempts=2)).writeStream.format("parquet").option("path", f"{root}/out")
