@@ -485,21 +485,21 @@ def merged_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def page_text_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered pages per host, with how many were captured and how much text they gave."""
-    pages = table(spark, sf_dir, "pages").select(
+    read = captures.gate_captures(captures.extract_main_text(table(spark, sf_dir, "pages")))
+    # Only a few numbers per page go on to the shuffle, not its HTML or text.
+    narrow = read.select(
         F.col("page_id").alias("seq"),
         "url",
-        F.lit("queue_file").alias("source"),
         F.lit(None).cast("timestamp").alias("submitted_at"),
-        "html",
+        "gate",
+        F.length("text").alias("chars"),
     )
-    keyed = urls.assign_content_ids(urls.canonicalize_urls(pages))
-    first = registry.first_submission(keyed)
-    gated = captures.gate_captures(captures.extract_main_text(first))
-    hosted = urls.extract_hosts(gated.select("url", "text", "gate"))
+    keyed = urls.assign_content_ids(urls.canonicalize_urls(narrow))
+    hosted = urls.extract_hosts(registry.first_submission(keyed))
     return hosted.groupBy("host").agg(
         F.count("*").alias("pages"),
         F.count_if(F.col("gate") == "ok").alias("captured"),
-        F.sum(F.length("text")).alias("chars"),
+        F.sum("chars").alias("chars"),
     )
 
 

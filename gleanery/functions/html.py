@@ -74,10 +74,13 @@ def main_region(html: Column) -> Column:
     return region
 
 
-def to_lines(html: Column) -> Column:
-    """Tags out, entities decoded, blanks collapsed, empty lines dropped."""
-    text = F.regexp_replace(html, LINE_BREAKS, "\n")
-    text = F.regexp_replace(text, TAGS, "")
+def without_tags(html: Column) -> Column:
+    """Block-level tags become line ends, other tags nothing."""
+    return F.regexp_replace(F.regexp_replace(html, LINE_BREAKS, "\n"), TAGS, "")
+
+
+def to_lines(text: Column) -> Column:
+    """Entities decoded, blanks collapsed, empty lines dropped."""
     text = decode_numeric_entities(text)
     for name, char in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))

@@ -328,8 +328,8 @@ def apply_model(
     """Run a user's model over rows: (key, fields of ``schema``, error).
 
     ``make_model`` runs once per partition and returns a function from a pandas batch to a
-    pandas batch with one row per input row. If a batch raises, its rows are tried one by
-    one, so an exception becomes the error of the row that caused it and of no other.
+    pandas batch with one row per input row. A batch that raises is halved and tried again,
+    so an exception becomes the error of the row that caused it and of no other.
     """
     fields = [f.name for f in parse(schema)]
     key_type = items.schema[key].dataType
@@ -352,17 +352,17 @@ def apply_model(
             return pd.DataFrame({**values, "error": [str(exc) or repr(exc)]})
 
         for batch in batches:
-            if batch.empty:
-                continue
-            try:
-                yield attempt(batch)
-            except Exception:  # noqa: BLE001 - settled per row below
-                for i in range(len(batch)):
-                    row = batch.iloc[[i]]
-                    try:
-                        yield attempt(row)
-                    except Exception as exc:  # noqa: BLE001 - the row keeps its error
-                        yield failed(row, exc)
+            waiting = [batch] if len(batch) else []
+            while waiting:
+                rows = waiting.pop()
+                try:
+                    yield attempt(rows)
+                except Exception as exc:  # noqa: BLE001 - the row at fault keeps its error
+                    if len(rows) == 1:
+                        yield failed(rows, exc)
+                    else:
+                        half = len(rows) // 2
+                        waiting += [rows.iloc[half:], rows.iloc[:half]]
 
     return items.mapInPandas(run, out)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import urls as U
-from gleanery.functions.html import main_region, to_lines, without_noise
+from gleanery.functions.html import main_region, to_lines, without_noise, without_tags
 from gleanery.functions.text import contains_any, quoted, strip
 from gleanery.operators.once import computed_once
 from gleanery.policy import (
@@ -45,8 +45,9 @@ BINARY_NOTE = (
 def extract_main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """Add the main text of each page; each step is computed once, whatever reads it."""
     clean = computed_once(pages, {"_clean": without_noise(F.coalesce(F.col(html), F.lit("")))})
-    region = computed_once(clean, {"_region": main_region(F.col("_clean"))})
-    return computed_once(region, {out: to_lines(F.col("_region"))}).drop("_clean", "_region")
+    region = computed_once(clean, {"_region": main_region(F.col("_clean"))}).drop("_clean")
+    bare = computed_once(region, {"_bare": without_tags(F.col("_region"))}).drop("_region")
+    return computed_once(bare, {out: to_lines(F.col("_bare"))}).drop("_bare")
 
 
 def gate_captures(captures: DataFrame, text: str = "text") -> DataFrame:

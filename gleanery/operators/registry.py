@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.text import iso_utc
 from gleanery.operators.lookup import lookup
 from gleanery.operators.once import computed_once
-from gleanery.operators.urls import classify_urls, validate_urls
+from gleanery.operators.urls import judge_urls
 from gleanery.policy import REFUSED_STATUSES, TERMINAL_STATUSES, Policy
 from gleanery.schemas import STATE, parse
 
@@ -31,7 +31,7 @@ def screen_submissions(
 
     The key is the content id, or the URL itself when it is malformed.
     """
-    judged = classify_urls(validate_urls(submissions, policy), policy, probes)
+    judged = judge_urls(submissions, policy, probes)
     as_text = ~F.col("ok") & ~F.col("blocked") & F.coalesce(F.col("kind") == "text", F.lit(False))
     return computed_once(
         judged,

@@ -84,12 +84,25 @@ def _verdict(u: Column, host: Column, policy: Policy) -> Column:
     )
 
 
+def _with_host(df: DataFrame, url: str) -> DataFrame:
+    return computed_once(_with_url(df, url), {"_host": U.host(F.col("_url"))})
+
+
 def validate_urls(df: DataFrame, policy: Policy, url: str = "url") -> DataFrame:
     """Add ``ok, normalized_url, content_id, reason, blocked`` for each URL."""
-    hosted = computed_once(
-        _with_url(df, url),
-        {"_host": U.host(F.col("_url")), "_canonical": U.canonical(F.col("_url"))},
-    )
+    return _validated(_with_host(df, url), policy).drop("_url", "_host")
+
+
+def judge_urls(
+    df: DataFrame, policy: Policy, probes: DataFrame | None = None, url: str = "url"
+) -> DataFrame:
+    """``validate_urls`` and ``classify_urls`` in one, taking the URL apart once."""
+    judged = _classified(_validated(_with_host(df, url), policy), policy).drop("_url", "_host")
+    return classify_by_probe(judged, probes, url)
+
+
+def _validated(hosted: DataFrame, policy: Policy) -> DataFrame:
+    hosted = computed_once(hosted, {"_canonical": U.canonical(F.col("_url"))})
     staged = computed_once(
         hosted, {"_verdict": _verdict(F.col("_url"), F.col("_host"), policy)}
     )
@@ -110,14 +123,19 @@ def validate_urls(df: DataFrame, policy: Policy, url: str = "url") -> DataFrame:
             "reason": reason,
             "blocked": verdict == "blocked",
         }
-    ).drop("_url", "_host", "_verdict", "_canonical")
+    ).drop("_verdict", "_canonical")
 
 
 def classify_urls(
     df: DataFrame, policy: Policy, probes: DataFrame | None = None, url: str = "url"
 ) -> DataFrame:
     """Add ``kind``: media, text, or null when nothing may capture the URL."""
-    staged = computed_once(_with_url(df, url), {"_host": U.host(F.col("_url"))})
+    known = _classified(_with_host(df, url), policy).drop("_url", "_host")
+    return classify_by_probe(known, probes, url)
+
+
+def _classified(hosted: DataFrame, policy: Policy) -> DataFrame:
+    """Add ``kind``, with the value probe where the URL alone cannot tell."""
     host = F.col("_host")
     refused = (
         U.in_domains(host, policy.text_blocked_domains) | (host == "localhost") | U.is_local(host)
@@ -131,8 +149,7 @@ def classify_urls(
         .when(refused, F.lit(None).cast("string"))
         .otherwise(F.lit("text"))
     )
-    known = computed_once(staged, {"kind": kind}).drop("_url", "_host")
-    return classify_by_probe(known, probes, url)
+    return computed_once(hosted, {"kind": kind})
 
 
 def classify_by_probe(
