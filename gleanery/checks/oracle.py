@@ -111,7 +111,7 @@ O["first_submissions"] = q(
 )
 
 
-def registered(probes: bool) -> tuple[str, ...]:
+def registered(probes: bool, now: str = AS_OF) -> tuple[str, ...]:
     return (
         *SUBS,
         judged(probes=probes),
@@ -123,7 +123,7 @@ registered AS (
   SELECT state_key AS content_id, url, CASE WHEN shaped THEN normalized_url ELSE '' END AS normalized_url, source,
     CASE WHEN accepted THEN 'pending' ELSE 'blocked' END AS status,
     CASE WHEN accepted THEN coalesce(kind, 'media') ELSE 'media' END AS content_kind,
-    {AS_OF} AS added_at, {AS_OF} AS updated_at, CASE WHEN NOT accepted THEN reason END AS error,
+    {now} AS added_at, {now} AS updated_at, CASE WHEN NOT accepted THEN reason END AS error,
     {NUL} AS note_path, {NUL} AS skill_path, CAST(0 AS INTEGER) AS attempt_count,
     CAST(NULL AS TIMESTAMP) AS next_retry_at, {NUL} AS last_completed_stage, {NUL} AS skill_error
   FROM firsts)""",
@@ -700,4 +700,49 @@ SELECT {iso('ts')} AS timestamp, CASE WHEN event_type = 'error' THEN 'ERROR' ELS
   CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) END AS user,
   CASE WHEN event_type = 'error' THEN 'Traceback' || chr(10) || '  ' || event_id END AS exc_info FROM events"""
 
+# --- The whole batch ----------------------------------------------------------------------
+
+LATER = f"({AS_OF} + to_hours(1))"
+O["full_batch"] = q(
+    *registered(False, LATER),
+    f"known AS ({state_change('state')} UNION ALL {state_change('registered')})",
+    f"due AS (SELECT * FROM known WHERE status NOT IN {in_list(TERMINAL_STATUSES)} "
+    f"AND (next_retry_at IS NULL OR next_retry_at <= {LATER}))",
+    canon("pages", "rp"),
+    "responses AS (SELECT * FROM rp QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY page_id) = 1)",
+    "fetched AS (SELECT d.content_id, d.url, d.added_at, r.html FROM due d JOIN responses r "
+    "ON r.content_id = d.content_id WHERE d.content_kind = 'text')",
+    main_text("fetched", "html", "read"),
+    f"gated AS (SELECT *, {gate('text')} AS gate FROM read)",
+    f"""captured AS (
+  SELECT *, CASE WHEN gate = 'app_shell' THEN 'page needs rendering' WHEN gate <> 'ok' THEN {gate_error('url', False)} END AS problem,
+    length({strip("('From ' || url || ':' || chr(10) || text)")}) AS size FROM gated)""",
+    """named AS (
+  SELECT *, row_number() OVER (PARTITION BY size ORDER BY added_at, content_id) AS turn FROM captured WHERE problem IS NULL)""",
+    f"""outcome AS (
+  SELECT d.*, d.attempt_count + 1 AS tries, n.content_id IS NOT NULL AS won,
+    'page-' || n.size || CASE WHEN turn = 1 THEN '' ELSE '-' || turn END || '.md' AS note,
+    coalesce(c.problem, 'nothing was fetched for this item') AS problem
+  FROM due d LEFT JOIN captured c ON c.content_id = d.content_id LEFT JOIN named n ON n.content_id = d.content_id)""",
+    f"dead AS (SELECT *, NOT won AND tries >= {POLICY.max_attempts} AS gone FROM outcome)",
+    "changed AS ("
+    + state_change(
+        "dead",
+        status="CASE WHEN won THEN 'done' WHEN gone THEN 'failed_permanent' ELSE 'failed' END",
+        updated_at=LATER,
+        error="CASE WHEN NOT won THEN problem END",
+        note_path="CASE WHEN won THEN note ELSE note_path END",
+        skill_path="CASE WHEN NOT won THEN skill_path END",
+        attempt_count="CAST(CASE WHEN won THEN 0 ELSE tries END AS INTEGER)",
+        next_retry_at=f"CASE WHEN NOT won AND NOT gone THEN {LATER} + to_minutes("
+        f"{list(POLICY.backoff_minutes)}[least(tries, {len(POLICY.backoff_minutes)})]) END",
+        last_completed_stage="CASE WHEN won THEN 'note_written' ELSE last_completed_stage END",
+        skill_error="CASE WHEN NOT won THEN skill_error END",
+    )
+    + ")",
+    f"final_state AS ({state_change('known')} WHERE content_id NOT IN (SELECT content_id FROM due) "
+    "UNION ALL SELECT * FROM changed)",
+    final=f"SELECT {STATE_SHOWN} FROM final_state",
+)
+
 ORACLES = O
