@@ -29,8 +29,6 @@ from gleanery.operators.publish import assign_note_names, render_notes, skill_ca
 from gleanery.operators.registry import register_urls, upsert_state
 from gleanery.policy import Policy
 
-NOTE_COLUMNS = "title, summary, tags, tools_mentioned, key_takeaways, high_signal, skill_candidate_reason"
-
 
 @dataclass(frozen=True)
 class Models:
@@ -61,11 +59,15 @@ def run_batch(
     policy: Policy,
     as_of: datetime,
     folder: str,
+    earlier_captures: DataFrame | None = None,
+    earlier_enrichments: DataFrame | None = None,
 ) -> BatchResult:
     """One pass over everything due.
 
     ``responses`` is (content_id, html) for text items, ``transcripts`` is (content_id, text)
-    for media items; a due item without either fails and is retried later. Every stage is a
+    for media items; a due item without either fails and is retried later. Captures
+    (content_id, text) and enrichments (content_id and the record's fields) of an earlier
+    run are used again where the state says that step was completed. Every stage is a
     table under ``folder``: a stage is computed once, and a lost executor costs only the
     stage it was in.
     """
@@ -81,50 +83,55 @@ def run_batch(
     refused = added.filter("status = 'blocked'").select(
         F.col("added_at").alias("ts"), "url", F.coalesce("error", F.lit("validation failed")).alias("reason")
     )
-    empty = transcripts.limit(0)
-    due = stage(plan_resume(actionable_items(known, as_of), empty, empty, transcripts), "due")
+    nothing = transcripts.select("content_id", "text").limit(0)
+    old_captures = nothing if earlier_captures is None else earlier_captures
+    old_records = nothing if earlier_enrichments is None else earlier_enrichments
+    due = stage(
+        plan_resume(actionable_items(known, as_of), old_captures, old_records, transcripts), "due"
+    )
+    todo = due.select("content_id", "url", "content_kind", "resume_at")
+    no_error = F.lit(None).cast("string").alias("error")
 
-    text_items = due.filter("content_kind = 'text'").select("content_id", "url")
-    pages = text_items.join(responses.select("content_id", "html"), "content_id")
+    pages = todo.filter("resume_at = 'capture'").join(
+        responses.select("content_id", "html"), "content_id"
+    )
     read = stage(extract_main_text(pages).drop("html"), "page_text")
     routed = route_captures(gate_captures(read), policy)
-    clips = due.filter("content_kind = 'media'").select("content_id", "url").join(
+    clips = todo.filter("resume_at IN ('download', 'transcribe')").join(
         transcripts.select("content_id", "text"), "content_id"
     )
+    reused = todo.filter("resume_at IN ('enrich', 'write_note')").join(
+        old_captures.select("content_id", "text"), "content_id"
+    )
+    problem = F.when(F.col("route") == "needs_render", "page needs rendering").otherwise(F.col("error"))
     captures = stage(
         routed.select(
-            "content_id",
-            "url",
-            F.lit("text").alias("content_kind"),
+            *todo.columns,
             F.when(F.col("route") == "captured", F.col("text")).alias("text"),
-            F.when(F.col("route") == "needs_render", F.lit("page needs rendering"))
-            .otherwise(F.col("error"))
-            .alias("error"),
-        ).unionByName(
-            clips.select(
-                "content_id",
-                "url",
-                F.lit("media").alias("content_kind"),
-                "text",
-                F.lit(None).cast("string").alias("error"),
-            )
-        ),
+            problem.alias("error"),
+        )
+        .unionByName(clips.select(*todo.columns, "text", no_error))
+        .unionByName(reused.select(*todo.columns, "text", no_error)),
         "captures",
     )
 
     ready = render_prompts(
-        captures.filter("error IS NULL"),
+        captures.filter("error IS NULL AND resume_at <> 'write_note'"),
         prompts,
         {"source_url": F.col("url"), "transcript": F.col("text")},
     )
     asked = ready.select("content_id", "static_prefix", "prompt")
     answers = stage(apply_model(asked, models.enrich, "text STRING"), "answers")
-    enriched = stage(
-        parse_enrichments(answers.withColumnRenamed("error", "_model_error")).withColumn(
-            "error", F.coalesce("_model_error", "error")
-        ).drop("_model_error", "text"),
-        "enrichments",
+    parsed = (
+        parse_enrichments(answers.withColumnRenamed("error", "_model_error"))
+        .withColumn("error", F.coalesce("_model_error", "error"))
+        .drop("_model_error", "text")
     )
+    if earlier_enrichments is not None:
+        written = todo.filter("resume_at = 'write_note'").select("content_id")
+        records = earlier_enrichments.join(written, "content_id", "left_semi")
+        parsed = parsed.unionByName(records.withColumn("error", no_error).select(*parsed.columns))
+    enriched = stage(parsed, "enrichments")
 
     good = enriched.filter("error IS NULL").drop("error")
     items = (
@@ -139,9 +146,15 @@ def run_batch(
     notes = stage(render_notes(named), "notes")
     skills = stage(_skills(notes, models, prompts, policy), "skills")
 
-    problem = (
+    problems = (
         due.select("content_id")
-        .join(captures.select("content_id", F.col("error").alias("_capture"), F.lit(True).alias("_got")), "content_id", "left")
+        .join(
+            captures.select(
+                "content_id", F.col("error").alias("_capture"), F.lit(True).alias("_got")
+            ),
+            "content_id",
+            "left",
+        )
         .join(enriched.select("content_id", F.col("error").alias("_enrich")), "content_id", "left")
         .withColumn(
             "message",
@@ -150,9 +163,17 @@ def run_batch(
             ),
         )
         .filter("message IS NOT NULL")
-        .select("content_id", "message", F.lit("CaptureError()").alias("error_repr"))
+        .select(
+            "content_id",
+            "message",
+            F.lit("CaptureError()").alias("error_repr"),
+            (F.col("_got").isNotNull() & F.col("_capture").isNull()).alias("captured"),
+        )
+    )
+    missed = stage(problems, "problems")
+    failures = apply_failures(
+        _keep_captured(known, missed), missed.drop("captured"), policy, as_of
     )
-    failures = apply_failures(known, stage(problem, "problems"), policy, as_of)
     successes = apply_success(known, notes.select("content_id", "note_path"), skills, as_of)
     changed = stage(failures.rows.unionByName(successes), "changed")
     attention = stage(refused.unionByName(failures.attention), "attention")
@@ -160,6 +181,14 @@ def run_batch(
     return BatchResult(final, notes, skills, attention, run_outputs(changed), run_summary(changed))
 
 
+def _keep_captured(state: DataFrame, missed: DataFrame) -> DataFrame:
+    """Rows of the failed items, marked as transcribed where this run got that far."""
+    later = F.col("captured") & ~F.coalesce(F.col("last_completed_stage") == "enriched", F.lit(False))
+    stage = F.when(later, "transcribed").otherwise(F.col("last_completed_stage"))
+    failed = state.join(missed.select("content_id", "captured"), "content_id")
+    return failed.withColumn("last_completed_stage", stage).select(*state.columns)
+
+
 def _skills(notes: DataFrame, models: Models, prompts: dict[str, str], policy: Policy) -> DataFrame:
     """(content_id, skill_path, skill_error, content) of the items worth a skill."""
     wanted = skill_candidates(notes, policy)

@@ -37,7 +37,7 @@ def skill():
     return model
 
 
-def run(spark, urls, state, pages, clips, now, folder, models=None, notes=()):
+def run(spark, urls, state, pages, clips, now, folder, models=None, notes=(), **earlier):
     subs = spark.createDataFrame([(i, u, "webhook", None) for i, u in enumerate(urls)], SUBMISSIONS)
 
     def keyed(pairs, name):
@@ -46,7 +46,7 @@ def run(spark, urls, state, pages, clips, now, folder, models=None, notes=()):
 
     disk = spark.createDataFrame(list(notes), "folder STRING, note_name STRING, owner STRING")
     return run_batch(
-        subs, state, keyed(pages, "html"), keyed(clips, "text"), disk, models or Models(enrich, skill), PROMPTS, Policy(), now, folder
+        subs, state, keyed(pages, "html"), keyed(clips, "text"), disk, models or Models(enrich, skill), PROMPTS, Policy(), now, folder, **earlier
     )
 
 
@@ -60,6 +60,7 @@ def test_batch_end_to_end_and_again(spark, now, tmp_path):
         urls[0]: "done", urls[1]: "done", urls[2]: "failed", urls[3]: "failed", urls[4]: "done", urls[5]: "blocked", urls[6]: "failed",
     }
     assert sorted(r.note_path for r in first.notes.collect()) == ["same-2.md", "same-3.md", "same.md"]
+    assert state[urls[6]].last_completed_stage == "transcribed" and state[urls[2]].last_completed_stage is None
     assert state[urls[6]].error == "model away" and state[urls[2]].error == "page needs rendering"
     assert tuple(first.summary.first())[:3] == (6, 3, 3)
     assert first.skills.filter("skill_path = 'same/SKILL.md'").count() == 3
@@ -71,6 +72,17 @@ def test_batch_end_to_end_and_again(spark, now, tmp_path):
     third = run(spark, [], first.state, [(urls[3], PAGE)], [], now + timedelta(minutes=2), str(tmp_path / "three"))
     assert {r.url: r.status for r in third.state.collect()}[urls[3]] == "done"
 
+    # The capture of the first run is used again; nothing is fetched this time.
+    def calm():
+        return lambda rows: pd.DataFrame({"text": ['{"title": "Calm", "summary": "s"}'] * len(rows)})
+
+    kept = spark.read.parquet(str(tmp_path / "one" / "captures")).filter("error IS NULL").select("content_id", "text")
+    later = now + timedelta(minutes=2)
+    fourth = run(spark, [], first.state, [], [], later, str(tmp_path / "four"), Models(calm), earlier_captures=kept)
+    again = {r.url: r for r in fourth.state.collect()}
+    assert again[urls[6]].status == "done" and again[urls[6]].note_path == "calm.md"
+    assert again[urls[3]].status == "failed" and again[urls[3]].attempt_count == 2
+
 
 def test_a_failed_skill_leaves_the_note_done(spark, now, tmp_path):
     def away():
