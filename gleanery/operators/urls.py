@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from gleanery.functions import urls as U
 from gleanery.functions.text import quoted, strip
+from gleanery.operators.lookup import lookup
 from gleanery.operators.once import computed_once
 from gleanery.policy import PROBED_HOST, Policy
 
@@ -57,11 +59,14 @@ def match_domains(df: DataFrame, domains: tuple[str, ...] | DataFrame, host: str
     suffixes = hosts.select("_host", F.explode(U.host_suffixes(F.col("_host"))).alias("domain"))
     found = suffixes.join(domains.select("domain").distinct(), "domain", "left_semi")
     listed = found.select("_host").distinct().withColumn("listed", F.lit(True))
-    return (
-        df.join(listed, F.col(host) == F.col("_host"), "left")
-        .drop("_host")
-        .withColumn("listed", F.coalesce("listed", F.lit(False)))
-    )
+    # A host can own a large share of all rows.
+    keyed = df.withColumn("_host", F.col(host))
+    marked = lookup(keyed, listed, ["_host"], _hashable(df))
+    return marked.withColumn("listed", F.coalesce("listed", F.lit(False))).select(*df.columns, "listed")
+
+
+def _hashable(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]
 
 
 def flag_private_hosts(df: DataFrame, host: str = "host") -> DataFrame:
@@ -162,13 +167,14 @@ def classify_by_probe(
     open_kind = F.col(kind) == "probe"
     if probes is None:
         return df.withColumn(kind, F.when(open_kind, F.lit("text")).otherwise(F.col(kind)))
-    found = probes.filter("probe_ok").select(F.col("url").alias("_probed")).distinct()
-    settled = F.when(F.col("_probed").isNotNull(), F.lit("media")).otherwise(F.lit("text"))
+    found = probes.filter("probe_ok").select(strip(F.col("url")).alias("_probed")).distinct()
     # Only rows of the ambiguous host are joined. The scan drops all others by a plain
     # substring test, so the second branch costs little.
     maybe = df.filter(F.lower(url).contains(PROBED_HOST)).filter(open_kind)
-    ambiguous = maybe.join(found, strip(F.col(url)) == F.col("_probed"), "left")
-    ambiguous = ambiguous.withColumn(kind, settled).drop("_probed")
+    keyed = maybe.withColumn("_probed", strip(F.col(url)))
+    joined = lookup(keyed, found.withColumn("_video", F.lit(True)), ["_probed"], _hashable(df))
+    settled = F.when(F.col("_video"), "media").otherwise("text")
+    ambiguous = joined.withColumn(kind, settled).select(*df.columns)
     return df.filter(~F.coalesce(open_kind, F.lit(False))).unionByName(ambiguous)
 
 
