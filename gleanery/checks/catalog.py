@@ -337,7 +337,7 @@ def pruned_attention_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = lifecycle.pipeline_health(I.state(spark, sf_dir))
+    measured = lifecycle.state_health(I.state(spark, sf_dir))
     return measured.withColumn("last_success_at", shown("last_success_at"))
 
 

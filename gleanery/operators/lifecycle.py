@@ -211,7 +211,7 @@ def pruned_count(attention: DataFrame, as_of: datetime, days: int) -> DataFrame:
     return attention.agg(F.count_if(F.col("ts") < cutoff).alias("removed"))
 
 
-def pipeline_health(state: DataFrame) -> DataFrame:
+def state_health(state: DataFrame) -> DataFrame:
     """One row: backlog, failures and the last success."""
     status = F.col("status")
     return state.agg(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gleanery.operators.lifecycle import pipeline_health
+from gleanery.operators.lifecycle import state_health
 from gleanery.operators.registry import register_urls
 from gleanery.policy import Policy
 from gleanery.sources.storage import read_batches, read_state, write_batch
@@ -137,7 +137,7 @@ def stream_health(changes: DataFrame, state_path: str, added_path: str, out_path
     """Recompute health from the tables whenever a micro-batch of changes arrives."""
 
     def measure(batch: DataFrame, number: int) -> None:
-        health = pipeline_health(current_state(batch.sparkSession, state_path, added_path))
+        health = state_health(current_state(batch.sparkSession, state_path, added_path))
         write_batch(health, out_path, number)
 
     return changes.writeStream.foreachBatch(measure)

@@ -115,9 +115,9 @@ def test_due_answers_and_health(spark, now):
     assert [c for c, r in answers.items() if r.should_run] == ["p", "r"]
     assert [c for c, r in answers.items() if not r.accepted] == ["x", "b"]
     assert answers["w"].reason == "still waiting on retry backoff until 2026-03-01T12:05:00+00:00 (last error: e)"
-    health = lifecycle.pipeline_health(state).first()
+    health = lifecycle.state_health(state).first()
     assert (health.queue_depth, health.failed_count) == (3, 3)
-    assert lifecycle.pipeline_health(empty(spark)).first().last_success_at is None
+    assert lifecycle.state_health(empty(spark)).first().last_success_at is None
 
 
 def test_resume_falls_back_when_an_artifact_is_gone(spark):
