@@ -12,7 +12,7 @@ from gleanery.durable import shared_dir
 
 WHITE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 5_000
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
