@@ -21,15 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import running_before, staged
+from gleanery.llm.common import running_before, slices, staged
 
 CAPACITY = 4096
 END_ID = 1
-#: Words a worker keeps the ids of; beyond it, it starts over.
-CACHE_WORDS = 400_000
+BATCH_BYTES = 1 << 21
+#: Words a worker keeps the ids of; words met later are looked up anew in each batch.
+CACHE_WORDS = 1_200_000
 #: Lengths (the most frequent) from which the inner members of longer patterns are taken.
-COMMON_LENGTHS = 24
-SWEEPS = 40
+COMMON_LENGTHS = 8
+SWEEPS = 15
 
 _caches: dict[str, tuple] = {}
 
@@ -42,6 +43,14 @@ def _tokenizer(path: str) -> tuple:
     return _caches[path]
 
 
+def _words(text: bytes) -> list[bytes]:
+    # The tokenizer lowers letters itself; doing so first lets more words agree. Marks that may
+    # compose with a letter (U+0300 to U+036F) and special tokens tell cases apart, though.
+    if b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text:
+        text = text.lower()
+    return text.split()
+
+
 def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     """The ids of each text as little-endian 32-bit numbers.
 
@@ -49,19 +58,20 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     words in turn, and each word is looked up once.
     """
     tokenizer, known = _tokenizer(path)
-    out = []
-    for text in texts:
-        words = text.split()
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for i in range(0, len(new), 10_000):
-                part = new[i : i + 10_000]
-                found = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found, strict=True))
-        out.append(b"".join([known[w] for w in words]))
-    return out
+    split = [_words(t) for t in texts]
+    parts = [[known.get(w) for w in words] for words in split]
+    new = list({w for words, found in zip(split, parts, strict=True) if None in found for w in words if w not in known})
+    fresh: dict[bytes, bytes] = {}
+    for i in range(0, len(new), 10_000):
+        some = new[i : i + 10_000]
+        ids = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+        fresh.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(some, ids, strict=True))
+    if len(known) < CACHE_WORDS:
+        known.update(fresh)
+    return [
+        b"".join([fresh[w] if f is None else f for w, f in zip(words, found, strict=True)] if None in found else found)
+        for words, found in zip(split, parts, strict=True)
+    ]
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -78,12 +88,13 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         for frame in frames:
             rows: list[tuple] = []
             ids = frame.column(0).to_pylist()
-            texts = frame.column(1).cast(pa.large_binary())
-            for doc_id, text in zip(ids, texts, strict=True):
-                tokens = token_bytes([text.as_py() or b""], path)[0] + end
-                for piece, at in enumerate(range(0, len(tokens), 4 * capacity)):
-                    part = tokens[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            texts = [t.as_py() or b"" for t in frame.column(1).cast(pa.large_binary())]
+            for lo, hi in slices([len(t) for t in texts], BATCH_BYTES):
+                for doc_id, tokens in zip(ids[lo:hi], token_bytes(texts[lo:hi], path), strict=True):
+                    tokens += end
+                    for piece, at in enumerate(range(0, len(tokens), 4 * capacity)):
+                        part = tokens[at : at + 4 * capacity]
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else []
             if columns:
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -114,16 +125,12 @@ def fit_counts(patterns: list[tuple[int, ...]], counts: dict[int, int], sweeps:
     """Non-negative repeat counts x that least-squares fit the histogram, by coordinate descent."""
     if not patterns:
         return []
-    width = max(map(len, patterns))
-    size = max(counts) + 1
-    where = np.array([(*p, *[0] * (width - len(p))) for p in patterns])
-    rest = np.zeros(size)
+    values = [0.0] * (max(counts) + 1)
     for length, n in counts.items():
-        rest[length] = n
+        values[length] = float(n)
     uses = [{v: p.count(v) for v in p} for p in patterns]
     norm = [sum(k * k for k in u.values()) for u in uses]
-    x = np.zeros(len(patterns))
-    values = rest.tolist()
+    x = [0.0] * len(patterns)
     for _ in range(sweeps):
         moved = 0.0
         for i, u in enumerate(uses):
@@ -136,8 +143,7 @@ def fit_counts(patterns: list[tuple[int, ...]], counts: dict[int, int], sweeps:
                     values[v] -= k * step
         if moved < 0.5:
             break
-    del where
-    return x.tolist()
+    return x
 
 
 def plan_runs(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
