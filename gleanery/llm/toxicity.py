@@ -2,8 +2,8 @@
 
 Fitting (a bounded sample of labelled rows): a word's weight is the log-odds of meeting it in
 toxic against clean documents, under a Dirichlet prior in proportion to its overall use; words
-whose weight stands out (``LEAST_Z`` deviations) form the lexicon, every other word costs a
-small drift. Scoring (every whole text): the linear-time scan for all maximal scoring segments
+whose weight comes near the largest one the prior allows, in a fair share of the toxic documents,
+form the lexicon, every other word costs a small drift. Scoring (every whole text): the linear-time scan for all maximal scoring segments
 finds the toxic passages; segment scores follow an extreme-value law, so an expected count
 ``K * n * exp(-lambda * S)`` tells which are significant in a text of ``n`` words. A logistic
 curve over these figures, fitted on the same sample, gives the probability.
@@ -26,9 +26,12 @@ from gleanery.llm.common import staged
 #: Labelled rows the model is fitted on at most, and lexicon entries kept at most.
 SAMPLE_ROWS = 20_000
 LEXICON_WORDS = 4096
-LEAST_Z = 5.0
+#: A lexicon word reaches this share of the largest weight, and is in this share of toxic texts.
+LEAST_WEIGHT = 0.9
+LEAST_SUPPORT = 0.008
+LEAST_TEXTS = 4
 PRIOR_SHARE = 0.02
-SIGNIFICANT = 0.05
+LOG_SIGNIFICANT = math.log(0.05)
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: ASCII bytes that are not letters or digits separate words; others are kept.
@@ -53,16 +56,16 @@ class ToxicityModel:
         hits = [i for i, w in enumerate(words) if w in weights]
         return maximal_segments([(i, weights[words[i]]) for i in hits], self.drift)
 
-    def expected(self, score: float, n: int) -> float:
-        """How many segments of this score or more a clean text of n words has on average."""
-        return math.exp(min(700.0, self.log_k + math.log(max(n, 1)) - self.lam * score))
+    def log_expected(self, score: float, n: int) -> float:
+        """Log of how many segments of this score or more a clean text of n words has on average."""
+        return self.log_k + math.log(max(n, 1)) - self.lam * score
 
     def features(self, words: list[bytes]) -> tuple[float, ...]:
         found = self.passages(words)
         n = len(words)
         best = max((s for _, _, s in found), default=0.0)
-        significant = [s for _, _, s in found if self.expected(s, n) < SIGNIFICANT]
-        surprise = -math.log(self.expected(best, n)) if found else 0.0
+        significant = [s for _, _, s in found if self.log_expected(s, n) < LOG_SIGNIFICANT]
+        surprise = -self.log_expected(best, n) if found else 0.0
         return (
             1.0,
             float(bool(found)),
@@ -128,7 +131,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
         for frame in frames:
             words: list[bytes] = []
             toxic: list[int] = []
-            times: list[int] = []
             for text, label in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
                 own = words_of(text)
                 distinct = set(own)
@@ -140,18 +142,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
                 ["word", "toxic", "n"],
             )
 
-    sizes = sample.groupBy("_toxic").count().collect()
-    by = {r["_toxic"]: r["count"] for r in sizes}
+    # Copies count once, so that a text copied often doesn't make its rare words look toxic.
+    distinct = sample.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("_toxic").alias("_toxic"))
+    distinct = staged(distinct.select("text", "_toxic"), "toxic-distinct")
+    by = {r["_toxic"]: r["count"] for r in distinct.groupBy("_toxic").count().collect()}
     bad, good = float(by.get(1, 0)), float(by.get(0, 0))
-    counts = sample.mapInArrow(presence, "word binary, toxic int, n int")
+    counts = distinct.mapInArrow(presence, "word binary, toxic int, n int")
     counts = counts.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("n").alias("n"))
     prior = F.col("n") * PRIOR_SHARE
-    in_bad, in_good = F.col("t") + prior, F.col("n") - F.col("t") + prior
-    scale = bad + good
-    weight = F.log(in_bad / (bad + PRIOR_SHARE * scale + 1)) - F.log(in_good / (good + PRIOR_SHARE * scale + 1))
-    z = weight / F.sqrt(1 / in_bad + 1 / in_good)
-    best = counts.filter("t > 1").select("word", "t", "n", weight.alias("weight"), z.alias("z"))
-    best = best.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).collect()
+    bad_mass, good_mass = (x + PRIOR_SHARE * (bad + good) + 1 for x in (bad, good))
+    weight = F.log((F.col("t") + prior) / bad_mass) - F.log((F.col("n") - F.col("t") + prior) / good_mass)
+    largest = math.log((1 + PRIOR_SHARE) / PRIOR_SHARE) + math.log(good_mass / bad_mass)
+    best = counts.filter(F.col("t") >= max(LEAST_TEXTS, LEAST_SUPPORT * bad))
+    best = best.select("word", "t", "n", weight.alias("weight")).filter(F.col("weight") >= LEAST_WEIGHT * largest)
+    best = best.orderBy(F.desc("t"), "word").limit(LEXICON_WORDS).collect() if largest > 0 else []
     weights = {bytes(r["word"]): float(r["weight"]) for r in best}
 
     # Rates of lexicon words per text turn into the drift, and into lambda of the clean law.
@@ -216,11 +220,11 @@ def score_of(model: ToxicityModel):
 
 
 def toxic_passages(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """(doc_id, first_word, end_word, score, expected): every significant passage of every text.
+    """(doc_id, first_word, end_word, score, log_expected): every significant passage of every text.
 
     Words are counted in the text with ASCII punctuation taken as white space.
     """
-    schema = "doc_id long, first_word long, end_word long, score double, expected double"
+    schema = "doc_id long, first_word long, end_word long, score double, log_expected double"
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -228,9 +232,9 @@ def toxic_passages(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 words = words_of(text)
                 for a, b, s in model.passages(words):
-                    if (e := model.expected(s, len(words))) < SIGNIFICANT:
+                    if (e := model.log_expected(s, len(words))) < LOG_SIGNIFICANT:
                         rows.append((None if pd.isna(doc_id) else int(doc_id), a, b, s, e))
-            yield pd.DataFrame(rows, columns=["doc_id", "first_word", "end_word", "score", "expected"])
+            yield pd.DataFrame(rows, columns=["doc_id", "first_word", "end_word", "score", "log_expected"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInPandas(batches, schema)
