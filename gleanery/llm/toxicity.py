@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,7 @@ LEAST_WEIGHT = 0.9
 LEAST_SUPPORT = 0.008
 LEAST_TEXTS = 4
 PRIOR_SHARE = 0.02
+PRIOR_FLAT = 1.0
 LOG_SIGNIFICANT = math.log(0.05)
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -131,48 +132,67 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
         for frame in frames:
             words: list[bytes] = []
             toxic: list[int] = []
-            for text, label in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
-                own = words_of(text)
-                distinct = set(own)
+            halves: list[int] = []
+            for text, label, half in zip(*(frame.column(c).to_pylist() for c in range(3)), strict=True):
+                distinct = set(words_of(text))
                 words.extend(distinct)
                 toxic.extend([label] * len(distinct))
-            times = [1] * len(words)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array(toxic, pa.int32()), pa.array(times, pa.int32())],
-                ["word", "toxic", "n"],
-            )
+                halves.extend([half] * len(distinct))
+            kinds = (pa.binary(), pa.int32(), pa.int32())
+            columns = [pa.array(c, k) for c, k in zip((words, toxic, halves), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["word", "toxic", "half"])
 
     # Copies count once, so that a text copied often doesn't make its rare words look toxic.
+    half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
     distinct = sample.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("_toxic").alias("_toxic"))
-    distinct = staged(distinct.select("text", "_toxic"), "toxic-distinct")
-    by = {r["_toxic"]: r["count"] for r in distinct.groupBy("_toxic").count().collect()}
-    bad, good = float(by.get(1, 0)), float(by.get(0, 0))
-    counts = distinct.mapInArrow(presence, "word binary, toxic int, n int")
-    counts = counts.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("n").alias("n"))
-    prior = F.col("n") * PRIOR_SHARE
+    distinct = staged(distinct.select("text", "_toxic", half.alias("half")), "toxic-distinct")
+    sizes = {(r["half"], r["_toxic"]): r["count"] for r in distinct.groupBy("half", "_toxic").count().collect()}
+    counts = distinct.mapInArrow(presence, "word binary, toxic int, half int").groupBy("word")
+    counts = counts.agg(
+        *(F.sum((F.col("half") == h).cast("int") * F.col("toxic")).alias(f"t{h}") for h in (0, 1)),
+        *(F.sum((F.col("half") == h).cast("int")).alias(f"n{h}") for h in (0, 1)),
+    ).filter("t0 + t1 > 1")
+    counts = staged(counts, "toxic-words")
+    length = (sample.agg(F.avg(F.length("text"))).first()[0] or 6.0) / 6
+    # The curve is fitted on each half as the other half's lexicon sees it.
+    rows: list[tuple[int, list[float]]] = []
+    for h in (0, 1):
+        other = _lexicon(counts, sizes, (1 - h,), length)
+        seen = distinct.filter(F.col("half") == h).select("_toxic", features_of(other)("text").alias("x"))
+        rows += [(r["_toxic"], r["x"]) for r in seen.collect()]
+    model = _lexicon(counts, sizes, (0, 1), length)
+    if rows:
+        curve = logistic_fit(np.array([x for _, x in rows]), np.array([float(y) for y, _ in rows]))
+        model = replace(model, curve=tuple(map(float, curve)))
+    return model
+
+
+def _lexicon(counts: DataFrame, sizes: dict, halves: tuple[int, ...], length: float) -> ToxicityModel:
+    """Lexicon and clean law from the word counts of some halves; ``length`` is words per text."""
+    bad, good = (float(sum(sizes.get((h, y), 0) for h in halves)) for y in (1, 0))
+    t = sum((F.col(f"t{h}") for h in halves), F.lit(0))
+    n = sum((F.col(f"n{h}") for h in halves), F.lit(0))
     bad_mass, good_mass = (x + PRIOR_SHARE * (bad + good) + 1 for x in (bad, good))
-    weight = F.log((F.col("t") + prior) / bad_mass) - F.log((F.col("n") - F.col("t") + prior) / good_mass)
+
+    def weight(flat: float) -> Column:
+        prior = n * PRIOR_SHARE + flat
+        return F.log((t + prior) / bad_mass) - F.log((n - t + prior) / good_mass)
+
     largest = math.log((1 + PRIOR_SHARE) / PRIOR_SHARE) + math.log(good_mass / bad_mass)
-    best = counts.filter(F.col("t") >= max(LEAST_TEXTS, LEAST_SUPPORT * bad))
-    best = best.select("word", "t", "n", weight.alias("weight")).filter(F.col("weight") >= LEAST_WEIGHT * largest)
-    best = best.orderBy(F.desc("t"), "word").limit(LEXICON_WORDS).collect() if largest > 0 else []
+    best = counts.filter((t >= max(LEAST_TEXTS, LEAST_SUPPORT * bad)) & (weight(0.0) >= LEAST_WEIGHT * largest))
+    best = best.select("word", t.alias("t"), n.alias("n"), weight(PRIOR_FLAT).alias("weight"))
+    best = best.filter("weight > 0").orderBy(F.desc("t"), "word").limit(LEXICON_WORDS).collect()
     weights = {bytes(r["word"]): float(r["weight"]) for r in best}
 
-    # Rates of lexicon words per text turn into the drift, and into lambda of the clean law.
+    # Rates of lexicon words per word of text turn into the drift, and into lambda of the clean law.
     hits_bad = sum(r["t"] for r in best) + 1.0
     hits_good = sum((r["n"] - r["t"]) + PRIOR_SHARE * r["n"] for r in best) + 1.0
-    length = sample.agg(F.avg(F.length("text"))).first()[0] or 1.0
-    tokens = max(1.0, length / 6)
+    tokens = max(1.0, length)
     q = min(0.5, hits_bad / max(1.0, bad) / tokens)
     p = min(q / 2, hits_good / max(1.0, good) / tokens)
     drift = max(1e-3, math.log((1 - p) / (1 - q)))
     strength = sum(weights.values()) / len(weights) if weights else 1.0
-    lam = _root(p, strength, drift)
-    model = ToxicityModel(weights, drift, lam, math.log(max(p, 1e-12)), (0.0,) * 5)
-    rows = sample.select("_toxic", features_of(model)("text").alias("x"))
-    rows = [(r["_toxic"], r["x"]) for r in rows.collect()]
-    curve = logistic_fit(np.array([x for _, x in rows]), np.array([float(y) for y, _ in rows])) if rows else (-1.0, 0, 0, 0, 0)
-    return ToxicityModel(weights, drift, lam, model.log_k, tuple(map(float, curve)))
+    return ToxicityModel(weights, drift, _root(p, strength, drift), math.log(max(p, 1e-12)), (-1.0, 0.0, 0.0, 0.0, 0.0))
 
 
 def _root(p: float, strength: float, drift: float) -> float:
