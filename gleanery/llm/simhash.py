@@ -60,18 +60,27 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): a row per document, the fingerprint as a signed 64-bit number."""
+def _marked_fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, _h, _k, fp) from (doc_id, text, _h, _k), the fingerprint as a signed 64-bit number."""
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             texts = frame.column(1).cast(pa.large_binary())
             fps = [fingerprint(t.as_py() or b"", shingle_words) for t in texts]
             fps = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([frame.column(0), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [frame.column(0), frame.column(2), frame.column(3), fps], ["doc_id", "_h", "_k", "fp"]
+            )
+
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "_h", "_k")
+    return narrow.mapInArrow(batches, "doc_id long, _h long, _k long, fp long")
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(batches, "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, fp): a row per document."""
+    none = F.lit(None).cast("long")
+    bare = docs.select("doc_id", "text", none.alias("_h"), none.alias("_k"))
+    return _marked_fingerprints(bare, shingle_words).select("doc_id", "fp")
 
 
 def _segment(fp: Column, start: int, width: int) -> Column:
@@ -240,16 +249,31 @@ def near_duplicates(
     An empty table gives an empty result; other columns are not read.
     """
     prints = staged(fingerprints(docs, shingle_words), "simhash")
+    return prints.join(_classes(prints, radius, crowded), "fp").select("doc_id", "fp", "component_id")
+
+
+def _classes(prints: DataFrame, radius: int = RADIUS, crowded: int = CROWDED) -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint."""
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(distinct.select("fp"), radius, crowded))
     roots = roots.withColumnRenamed("node", "fp")
-    named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = staged(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return named.join(least, "root").select("fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its class (rows with null ids stay)."""
-    classes = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti")
+    """One row of each class: that with the smallest doc_id, of equal ids the first by text.
+
+    The choice is made on (id, hash of the text) alone; texts are read again afterwards. Of rows
+    that repeat both, one stays.
+    """
+    marks = {"_h": F.xxhash64("doc_id", "text"), "_k": F.xxhash64(F.lit(1), "doc_id", "text")}
+    narrow = docs.select("doc_id", "text", *(c.alias(n) for n, c in marks.items()))
+    prints = _marked_fingerprints(narrow)
+    prints = staged(prints, "simhash-marks")
+    named = _classes(prints.select("doc_id", "fp"))
+    chosen = prints.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_h", "_k")).alias("c"))
+    chosen = chosen.select("c._h", "c._k")
+    kept = docs.withColumns(marks).join(chosen, ["_h", "_k"], "left_semi")
+    return kept.dropDuplicates(["_h", "_k"]).select(*docs.columns)

@@ -275,7 +275,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text scores below 0.5."""
-    score = score_of(fit(docs, labels))
+def without_toxic(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text scores below 0.5 by a model fitted on ``labelled``."""
+    score = score_of(fit(labelled, labels))
     return docs.filter(score(F.col("text").cast("string")) < 0.5)
