@@ -183,13 +183,15 @@ def mixed_texts(docs: DataFrame, mixture: Mixture, seed: int = 11) -> DataFrame:
     """
     played = mixture.pieces.groupBy("_s", "_row", "pass").agg(F.sum("words").alias("_keep"))
     plan = mixture.rows.join(played, ["_s", "_row"])
-    plan = plan.groupBy("_h", "_k", "size", "_keep").agg(F.count("*").alias("_plays"))
-    distinct = docs.withColumns(_row_keys(seed)).dropDuplicates(["_h", "_k"])
-    joined = distinct.join(plan, ["_h", "_k"])
+    plan = plan.groupBy("_h", "_k", F.col("size").alias("_size"), "_keep").agg(F.count("*").alias("_plays"))
+    own = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
+    text, source = own["text"], F.col(own["text"])
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()), *(c.alias(n) for n, c in _row_keys(seed).items()))
+    joined = rows.dropDuplicates(["_h", "_k"]).join(plan, ["_h", "_k"])
     joined = joined.withColumn("_play", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_plays"))))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, F.col("_keep").cast("int")), " ")
-    text = F.when(F.col("_keep") < F.col("size"), part).otherwise(F.col("text"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    part = F.array_join(F.slice(F.regexp_extract_all(source, F.lit(WORD), 0), 1, F.col("_keep").cast("int")), " ")
+    played = F.when(F.col("_keep") < F.col("_size"), part).otherwise(source)
+    return joined.withColumn(text, played).select(*(F.col(n).alias(c) for c, n in own.items()))
 
 
 def _row_keys(seed: int) -> dict[str, Column]:

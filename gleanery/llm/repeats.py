@@ -243,7 +243,7 @@ def _sorted_by_spark(segments: DataFrame, length: int, keep_first: bool) -> Data
     runs = windows.groupBy("h", "w1", "w2").agg(
         F.count("*").alias("n"), F.min(F.struct("doc", "key", "at")).alias("least")
     )
-    found = windows.join(runs.filter("n > 1"), ["h", "w1", "w2"])
+    found = windows.join(staged(runs.filter("n > 1"), "repeat-windows"), ["h", "w1", "w2"])
     if keep_first:
         found = found.filter(F.struct("doc", "key", "at") != F.col("least"))
     return found.select("doc", "key", F.col("at").alias("first"), F.col("at").alias("last"))
@@ -252,7 +252,8 @@ def _sorted_by_spark(segments: DataFrame, length: int, keep_first: bool) -> Data
 def repeated_intervals(docs: DataFrame, length: int, keep_first: bool, crowded: int, core: int = CORE) -> DataFrame:
     """(doc, key, spans): for each text with repeats, stretches of repeated starts (in no order)."""
     found = _anchors(docs, length, core)
-    common = found.groupBy("h").count().filter("count > 1").select("h")
+    # Written, so that the joins below read plain tables on both sides and hot hashes can be split.
+    common = staged(found.groupBy("h").count().filter("count > 1").select("h"), "repeat-hashes")
     runs = staged(found.join(common, "h"), "repeat-runs")
     place = F.struct("doc", "key", "first", "last")
     variants = runs.groupBy("h", "seg").agg(F.count("*").alias("m"), F.min(place).alias("rep"))
@@ -265,6 +266,7 @@ def repeated_intervals(docs: DataFrame, length: int, keep_first: bool, crowded:
     whole = whole.select("doc", "key", "first", "last")
 
     sizes = variants.groupBy("h").count().filter("count > 1").withColumnRenamed("count", "n")
+    sizes = staged(sizes, "repeat-sizes")
     wanted = variants.join(sizes, "h").select("h", "seg", "n", "rep.*")
     lists = wanted.groupBy("doc", "key").agg(F.collect_list(F.struct("h", "seg", "first", "last")).alias("wanted"))
     segments = staged(_segments(_packed(docs).join(lists, ["doc", "key"]), length), "repeat-segments")

@@ -269,11 +269,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     that repeat both, one stays.
     """
     marks = {"_h": F.xxhash64("doc_id", "text"), "_k": F.xxhash64(F.lit(1), "doc_id", "text")}
-    narrow = docs.select("doc_id", "text", *(c.alias(n) for n, c in marks.items()))
+    marked = [c.alias(n) for n, c in marks.items()]
+    narrow = docs.select("doc_id", "text", *marked)
     prints = _marked_fingerprints(narrow)
     prints = staged(prints, "simhash-marks")
     named = _classes(prints.select("doc_id", "fp"))
     chosen = prints.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_h", "_k")).alias("c"))
     chosen = chosen.select("c._h", "c._k")
-    kept = docs.withColumns(marks).join(chosen, ["_h", "_k"], "left_semi")
-    return kept.dropDuplicates(["_h", "_k"]).select(*docs.columns)
+    own = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()), *marked)
+    kept = rows.join(chosen, ["_h", "_k"], "left_semi").dropDuplicates(["_h", "_k"])
+    return kept.select(*(F.col(n).alias(c) for c, n in own.items()))

@@ -142,17 +142,19 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
 
 
 def calibrated(counts: list[tuple[int, int, int]]) -> float:
-    """The bin border with the best mean of the two classes' right shares; 0 if a class is empty."""
+    """The middle of the bin borders with the best mean of the two classes' right shares; 0 if a class is empty."""
     good, bad = sum(c[1] for c in counts), sum(c[2] for c in counts)
     if not good or not bad:
         return 0.0
-    best, at = -1.0, 0.0
+    best, first, last = -1.0, 0, 0
     kept_good, kept_bad = good, bad
     found = {b: (g, r) for b, g, r in counts}
     for b in range(BINS + 1):
         share = kept_good / good + (bad - kept_bad) / bad
         if share > best:
-            best, at = share, b / BINS * 2 * RANGE - RANGE
+            best, first = share, b
+        if share == best:
+            last = b
         g, r = found.get(b, (0, 0))
         kept_good, kept_bad = kept_good - g, kept_bad - r
-    return at
+    return (first + last) / 2 / BINS * 2 * RANGE - RANGE
