@@ -801,7 +801,7 @@ def rendered_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def note_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = publish.render_notes(I.items(spark, sf_dir)).select("content_id", "content")
-    cut = F.when(F.col("content_id").cast("long") % 10 == 0, F.substring("content", 5, 10000000))
+    cut = F.when(F.col("content_id").cast("long") % 10 == 0, F.substring("content", 5, F.length("content")))
     broken = notes.withColumn("content", F.coalesce(cut, "content"))
     return files.parse_notes(broken).select("content_id", "owner", "title")
 
@@ -970,8 +970,8 @@ def streamed_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema("content_id STRING, status STRING").parquet(f"{root}/changes")
     writer = jobs.stream_health(stream, f"{root}/state", f"{root}/added", f"{root}/out")
     jobs.drain(writer.option("checkpointLocation", f"{root}/ck"), spark)
-    last = storage.finished_versions(spark, f"{root}/out", "batch")[-1]
-    read = spark.read.parquet(f"{root}/out/batch={last}")
+    run, last = storage.batch_folders(spark, f"{root}/out")[-1]
+    read = spark.read.parquet(f"{root}/out/run={run}/batch={last}")
     return read.withColumn("last_success_at", shown("last_success_at"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from gleanery.checks.inputs import BLOCK_TYPES, POLICY, STAGES, SUFFIXES
-from gleanery.functions import html as H
 from gleanery.functions.urls import LOCAL_RANGES, PUBLIC_EXCEPTIONS, URL_SHAPE
 from gleanery.operators import captures as C
 from gleanery.operators.urls import BLOCKED_NOTE
@@ -312,21 +311,37 @@ def rx(pattern: str) -> str:
     return lit(pattern.replace(r"\A", "^"))
 
 
+BLOCK_TAGS = (
+    "address article blockquote body dd div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 hr li main "
+    "ol p pre section table tbody td tfoot th thead title tr ul noscript br"
+)
+
+
 def main_text(src: str, html: str, out: str) -> str:
-    """CTEs that add ``text``, the main text of the column."""
+    """CTEs that add ``text``, the main text of the column (for pages whose tags are all closed)."""
+    dropped = ["<!--.*?-->"]
+    dropped += [rf"<{t}\b[^<>]*>.*?</{t}\s*>" for t in "script style nav footer aside header".split()]
+    ads = [
+        rf"<{t}\b[^<>]*\bclass\s*=\s*[\"']?ad[\"']?[\s>][^<>]*?>?.*?</{t}\s*>"
+        for t in "div section span p aside ins".split()
+    ]
     region = "clean"
-    for tag in reversed(H.ROOTS):
+    for tag in ("body", "main", "article"):
+        content = lit(rf"(?is)<{tag}\b[^<>]*>(.*?)(?:</{tag}\s*>|\z)")
         region = (
-            f"CASE WHEN regexp_matches(clean, {rx(rf'(?i)<{tag}\b[^>]*>')}) "
-            f"THEN regexp_extract(clean, {rx(H.root_pattern(tag))}, 1) ELSE {region} END"
+            f"CASE WHEN regexp_matches(clean, {lit(rf'(?i)<{tag}\b[^<>]*>')}) "
+            f"THEN regexp_extract(clean, {content}, 1) ELSE {region} END"
         )
     entities = "numbered"
-    for name, char in H.ENTITIES:
-        entities = f"replace({entities}, {lit(name)}, {lit(char)})"
+    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("copy", "©"), ("amp", "&")):
+        entities = f"replace({entities}, {lit(f'&{name};')}, {lit(char)})"
+    noise, ad = lit("(?is)" + "|".join(dropped)), lit("(?is)" + "|".join(ads))
+    breaks = lit(rf"(?i)</?(?:{BLOCK_TAGS.replace(' ', '|')})\b[^<>]*>")
+    tags = lit("<[!/?a-zA-Z][^<>]*>")
     return rf"""
-{out}_1 AS (SELECT *, regexp_replace(regexp_replace(coalesce({html}, ''), {rx(H.NOISE)}, ' ', 'g'), {rx(H.ADS)}, ' ', 'g') AS clean FROM {src}),
+{out}_1 AS (SELECT *, regexp_replace(regexp_replace(coalesce({html}, ''), {noise}, ' ', 'g'), {ad}, ' ', 'g') AS clean FROM {src}),
 {out}_2 AS (SELECT * EXCLUDE (clean), {region} AS region FROM {out}_1),
-{out}_3 AS (SELECT * EXCLUDE (region), regexp_replace(regexp_replace(region, {rx(H.LINE_BREAKS)}, chr(10), 'g'), {rx(H.TAGS)}, '', 'g') AS numbered FROM {out}_2),
+{out}_3 AS (SELECT * EXCLUDE (region), regexp_replace(regexp_replace(region, {breaks}, chr(10), 'g'), {tags}, '', 'g') AS numbered FROM {out}_2),
 {out}_4 AS (SELECT * EXCLUDE (numbered), {entities} AS named FROM {out}_3),
 {out} AS (
   SELECT * EXCLUDE (named), {strip(r"regexp_replace(regexp_replace(named, '[ \t\r\f\v]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')")} AS text

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +16,10 @@ SPACE = (
 )
 
 
+#: The named entities of HTML 5 that end in a semicolon.
+_NAMED = {n[:-1]: t.replace("\xa0", " ") for n, t in html.entities.html5.items() if n.endswith(";")}
+
+
 def strip(c: Column) -> Column:
     """Drop all leading and trailing white space, not only blanks."""
     return F.btrim(c, F.lit(SPACE))
@@ -55,21 +61,30 @@ def json_scalar(c: Column) -> Column:
     return F.substring(inside, F.lit(2), F.length(inside) - 2)
 
 
-def decode_numeric_entities(c: Column) -> Column:
-    """Replace &#N; and &#xN; by the character; a code no character has becomes U+FFFD."""
-    pieces = F.split(c, "&#")
+def decode_entities(c: Column) -> Column:
+    """Replace &#N;, &#xN; and all named entities by their text, in one pass.
+
+    A number no character has becomes U+FFFD; what is no entity stays. A no-break space
+    becomes a blank.
+    """
+    pieces = F.split(c, "&")
+    names = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
 
     def decoded(piece: Column) -> Column:
-        token = F.regexp_extract(piece, r"\A((?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)", 1)
-        digits = F.regexp_replace(token, "[xX;]", "")
-        base = F.when(token.rlike(r"\A[xX]"), F.lit(16)).otherwise(F.lit(10))
-        hexed = F.lpad(F.when(base == 16, digits).otherwise(F.hex(digits.try_cast("long"))), 8, "0")
-        code = F.conv(hexed, 16, 10).cast("long")
+        token = F.regexp_extract(piece, r"\A(#(?:[0-9]+|[xX][0-9a-fA-F]+);|[a-zA-Z][a-zA-Z0-9]*;)", 1)
+        digits = F.regexp_replace(token, "^#[xX]?0*|;", "")
+        hexed = token.rlike(r"\A#[xX]")
+        short = F.length(digits) <= F.when(hexed, 6).otherwise(7)
+        value = F.lpad(F.when(hexed, digits).otherwise(F.hex(digits.try_cast("long"))), 8, "0")
+        code = F.when(short, F.conv(value, 16, 10).cast("long")).otherwise(-1)
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        char = F.when(valid, F.decode(F.unhex(hexed), "UTF-32")).otherwise(F.lit("�"))
+        number = F.when(valid, F.decode(F.unhex(value), "UTF-32")).otherwise(F.lit("\ufffd"))
+        named = F.try_element_at(names, F.substring(token, F.lit(1), F.length(token) - 1))
+        char = F.when(F.startswith(token, F.lit("#")), number).otherwise(named)
         rest = F.substring(piece, F.length(token) + 1, F.length(piece))
-        return F.when(token == "", F.concat(F.lit("&#"), piece)).otherwise(F.concat(char, rest))
+        plain = (token == "") | char.isNull()
+        return F.when(plain, F.concat(F.lit("&"), piece)).otherwise(F.concat(char, rest))
 
     tail = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decoded)
     whole = F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))
-    return F.when(c.contains("&#"), whole).otherwise(c)
+    return F.when(c.contains("&"), whole).otherwise(c)

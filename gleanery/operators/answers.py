@@ -253,8 +253,10 @@ def parse_enrichments(answers: DataFrame, text: str = "text") -> DataFrame:
     """Add the enrichment fields and ``error`` from model texts.
 
     Code fences go first, then the text must be JSON, or hold JSON between its outermost
-    braces. Types are strict: a number is not a title, a null is not a list.
+    braces. Types are strict: a number is not a title, a null is not a list. Of a repeated key
+    the last value counts (this sets the session's option for duplicate keys in JSON).
     """
+    answers.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     bare = strip(F.col(text))
     unfenced = F.regexp_replace(bare, r"(?m)^```(?:json)?\s*|\s*```$", "")
     body = F.when(bare.contains("```"), strip(unfenced)).otherwise(bare)

@@ -15,16 +15,16 @@ FILE_TYPES = ("image", "file", "video", "audio", "pdf")
 DATABASE_TYPES = ("collection_view", "collection_view_page")
 MENTION_MARKS = ("‣", "⁍")
 UNTITLED = "# (untitled Notion page)"
-# Every real answer wraps a block at most twice; the rest is room for change.
-MAX_WRAPPERS = 8
 
 
 def _unwrap(node: Column) -> Column:
-    """Go through any ``value`` wrappers around a block."""
-    deepest_first = (
-        F.try_variant_get(node, "$" + ".value" * n, "variant") for n in range(MAX_WRAPPERS, 0, -1)
+    """Go through all ``value`` wrappers around a block, however many there are."""
+    most = F.regexp_count(F.to_json(node), F.lit('"value"'))
+    steps = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
+    inner = F.aggregate(
+        steps, node, lambda n, _: F.coalesce(F.try_variant_get(n, "$.value", "variant"), n)
     )
-    return F.coalesce(*deepest_first, node)
+    return inner
 
 
 def _plain(block: Column) -> Column:

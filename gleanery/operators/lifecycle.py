@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.text import filled
 from gleanery.operators.attempts import backoff_until, failure_reason
+from gleanery.operators.registry import last_per_key
 from gleanery.policy import FAILED_STATUSES, TERMINAL_STATUSES, Policy
 
 # Step, status while it runs, last completed stage after it.
@@ -91,12 +92,14 @@ def apply_failures(
 ) -> Failures:
     """Changed rows and attention lines for ``failures`` (content_id, message, error_repr).
 
-    ``error_repr`` names the error type; it stands in when the message is blank.
+    ``error_repr`` names the error type; it stands in when the message is blank. Several
+    failures of one item in a run are one attempt, told by the last of them in text order.
     """
     attempts = (F.col("attempt_count") + 1).cast("int")
     permanent = attempts >= policy.max_attempts
     error = F.coalesce(F.nullif("message", F.lit("")), F.col("error_repr"), F.lit("Exception()"))
-    failed = state.join(failures, "content_id").withColumns(
+    single = last_per_key(failures.select("content_id", "message", "error_repr"))
+    failed = state.join(single, "content_id").withColumns(
         {
             "_before": F.col("error"),
             "error": error,

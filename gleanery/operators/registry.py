@@ -105,14 +105,26 @@ def newly_registered(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.join(before.select("content_id"), "content_id", "left_anti")
 
 
-def upsert_state(state: DataFrame, changes: DataFrame, as_of: datetime) -> DataFrame:
+def last_per_key(changes: DataFrame, order: Column | None = None, key: str = "content_id") -> DataFrame:
+    """The row of each key that comes last by ``order``; rows that still tie go by their content."""
+    rest = [c for c in changes.columns if c != key]
+    place = F.to_json(F.struct(*rest)) if order is None else F.struct(order, F.to_json(F.struct(*rest)))
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*rest), place).alias("_last"))
+    return last.select(key, "_last.*")
+
+
+def upsert_state(
+    state: DataFrame, changes: DataFrame, as_of: datetime, order: Column | None = None
+) -> DataFrame:
     """Replace rows by key, add unknown keys, stamp what changed.
 
-    An anti join keeps the untouched rows, so a small change set is broadcast by Spark's
-    own size check and the state itself is not shuffled.
+    Of several changes to a key the last by ``order`` counts (by default the column
+    ``updated_at``). An anti join keeps the untouched rows, so a small change set is broadcast
+    by Spark's own size check and the state itself is not shuffled.
     """
-    kept = state.join(changes.select("content_id"), "content_id", "left_anti")
-    stamped = changes.withColumn("updated_at", F.lit(as_of).cast("timestamp"))
+    last = last_per_key(changes, F.col("updated_at") if order is None else order)
+    kept = state.join(last.select("content_id"), "content_id", "left_anti")
+    stamped = last.withColumn("updated_at", F.lit(as_of).cast("timestamp"))
     return kept.unionByName(stamped.select(*state.columns))
 
 

@@ -48,11 +48,13 @@ def match_domains(df: DataFrame, domains: tuple[str, ...] | DataFrame, host: str
     """Add ``listed``: the host is a listed domain or lies under one.
 
     A written list is matched inside the row. A table of domains (column ``domain``) is
-    joined on host suffixes, once per distinct host rather than once per row.
+    joined on host suffixes, once per distinct host rather than once per row. A row without
+    a host is not listed, either way.
     """
     if not isinstance(domains, DataFrame):
         if len(domains) <= INLINE_DOMAINS:
-            return df.withColumn("listed", U.in_domains(F.col(host), domains))
+            listed = F.coalesce(U.in_domains(F.col(host), domains), F.lit(False))
+            return df.withColumn("listed", listed)
         spark = df.sparkSession
         domains = spark.createDataFrame([(d,) for d in domains], "domain STRING")
     hosts = df.select(F.col(host).alias("_host")).filter("_host IS NOT NULL").distinct()

@@ -68,24 +68,33 @@ def read_state_json(spark: SparkSession, path: str, one_document: bool = True) -
     return conform_state(items.select("record.*"))
 
 
-def export_state_json(state: DataFrame, path: str, most: int = 100_000) -> None:
-    """Write the table as one JSON document, sorted by id; refused for tables too large for it."""
-    size = state.limit(most + 1).count()
-    if size > most:
-        raise ValueError(f"more than {most} items do not belong in one JSON document")
-    rows = F.array_sort(F.collect_list(F.struct("content_id", F.struct(*state.columns))))
-    document = state.agg(F.to_json(F.struct(F.map_from_entries(rows).alias("items"))).alias("value"))
-    document.coalesce(1).write.mode("overwrite").text(path)
+def export_state_json(state: DataFrame, path: str) -> None:
+    """Write one document {"items": {content_id: record}} a line and item; read it with
+    ``read_state_json(..., one_document=False)``."""
+    item = F.map_from_arrays(F.array("content_id"), F.array(F.struct(*state.columns)))
+    state.select(F.to_json(F.struct(item.alias("items"))).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_batch(rows: DataFrame, path: str, number: int) -> None:
-    """Write one numbered batch; doing it again replaces it."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+def write_batch(rows: DataFrame, path: str, number: int, run: str = "none") -> str:
+    """Write one numbered batch of a run and return its folder; doing it again replaces it."""
+    folder = f"{path}/run={run}/batch={number}"
+    rows.write.mode("overwrite").parquet(folder)
+    return folder
 
 
-def read_batches(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """All committed batches (below ``before``), or None when there are none."""
-    numbers = [n for n in finished_versions(spark, path, "batch") if before is None or n < before]
-    if not numbers:
+def batch_folders(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(run, number) of all committed batches."""
+    fs, place = _folder(spark, path)
+    if not fs.exists(place):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(place))
+    runs = [n.partition("=")[2] for n in names if n.startswith("run=")]
+    return [(r, n) for r in runs for n in finished_versions(spark, f"{path}/run={r}", "batch")]
+
+
+def read_batches(spark: SparkSession, path: str, skip: tuple[str, int] | None = None) -> DataFrame | None:
+    """All committed batches (but for one), or None when there are none."""
+    found = [b for b in batch_folders(spark, path) if b != skip]
+    if not found:
         return None
-    return spark.read.parquet(*(f"{path}/batch={n}" for n in numbers))
+    return spark.read.parquet(*(f"{path}/run={r}/batch={n}" for r, n in found))

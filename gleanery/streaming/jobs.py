@@ -20,16 +20,21 @@ RETRY_EVENTS = "content_id STRING, event STRING, attempt_count INT, at TIMESTAMP
 RETRY_STATE = "attempt_count INT, error STRING, due_us LONG, gave_up BOOLEAN"
 
 
-def current_state(spark: SparkSession, state_path: str, added_path: str, before: int | None = None) -> DataFrame:
-    """The latest snapshot plus what streaming registration added to it."""
+def current_state(spark: SparkSession, state_path: str, added_path: str, skip: tuple[str, int] | None = None) -> DataFrame:
+    """The latest snapshot plus what streaming registration added to it (but for one batch)."""
     base = read_state(spark, state_path)
-    added = read_batches(spark, added_path, before)
+    added = read_batches(spark, added_path, skip)
     if added is None:
         return base
     fresh = added.join(base.select("content_id"), "content_id", "left_anti")
     return base.unionByName(fresh.select(*base.columns))
 
 
+def query_id(spark: SparkSession) -> str:
+    """The id of the streaming query that runs the current batch; kept by its checkpoint."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+
+
 def stream_register(
     stream: DataFrame,
     state_path: str,
@@ -40,23 +45,24 @@ def stream_register(
 ) -> DataStreamWriter:
     """Register a stream of submissions; every micro-batch adds only its new keys.
 
-    A batch is looked up against the snapshot and the batches before it, and replaces its
-    own output when it is delivered again, so a key is registered once for ever.
+    A batch is looked up against the snapshot and all other batches, and replaces its own output
+    when it is delivered again, so a key is registered once for ever. Output is named by the
+    query's id and the batch's number: a query with a new checkpoint never overwrites an old one.
     """
 
     def register(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = current_state(spark, state_path, added_path, before=number)
+        run = query_id(spark)
+        known = current_state(spark, state_path, added_path, skip=(run, number))
         result = register_urls(batch, known, policy, as_of or datetime.now(UTC))
-        write_batch(result.rows, added_path, number)
         # The refused rows are read back, so both tables tell the same story.
-        written = spark.read.parquet(f"{added_path}/batch={number}")
+        written = spark.read.parquet(write_batch(result.rows, added_path, number, run))
         refused = written.filter("status = 'blocked'").select(
             F.col("added_at").alias("ts"),
             "url",
             F.coalesce("error", F.lit("validation failed")).alias("reason"),
         )
-        write_batch(refused, attention_path, number)
+        write_batch(refused, attention_path, number, run)
 
     return stream.writeStream.foreachBatch(register)
 
@@ -65,7 +71,8 @@ def stream_retries(attempts: DataFrame, policy: Policy) -> DataFrame:
     """Retry events of an attempt stream: an item again when its backoff ends, or given up.
 
     ``attempts`` is (content_id, attempt_id, attempt_ts, kind, ok, error). State per item is
-    four values however many attempts it has; its rows pass through in batches. A backoff
+    four values however many attempts it has; its rows of one micro-batch are ordered in memory
+    (bound a micro-batch by the source's options). A backoff
     that has already ended is reported at once, any other by a processing-time timeout.
 
     Timeouts ask for a batch even when no data came, for ever; use ``drain`` to run such a
@@ -88,23 +95,24 @@ def stream_retries(attempts: DataFrame, policy: Policy) -> DataFrame:
         item = key[0]
         count, error, due_us, gave_up = state.get if state.exists else (0, None, None, False)
         if not state.hasTimedOut:
-            for part in parts:
-                for row in part.sort_values(["attempt_ts", "attempt_id"]).itertuples(index=False):
-                    at_us = row.attempt_ts.value // 1000
-                    if row.kind == "reset":
-                        count, error, due_us, gave_up = 0, None, None, False
-                    elif gave_up:
-                        continue
-                    elif row.ok:
-                        count, error, due_us = 0, None, None
+            # The parts follow Arrow's batch size, so they are put in order together.
+            rows = pd.concat(list(parts)).sort_values(["attempt_ts", "attempt_id"], kind="stable")
+            for row in rows.itertuples(index=False):
+                at_us = row.attempt_ts.value // 1000
+                if row.kind == "reset":
+                    count, error, due_us, gave_up = 0, None, None, False
+                elif gave_up:
+                    continue
+                elif row.ok:
+                    count, error, due_us = 0, None, None
+                else:
+                    count, error, due_us = count + 1, row.error, None
+                    if count >= max_attempts:
+                        gave_up = True
+                        yield event(item, "gave_up", count, at_us, error)
                     else:
-                        count, error, due_us = count + 1, row.error, None
-                        if count >= max_attempts:
-                            gave_up = True
-                            yield event(item, "gave_up", count, at_us, error)
-                        else:
-                            minutes = schedule[min(count, len(schedule)) - 1]
-                            due_us = at_us + minutes * 60_000_000
+                        minutes = schedule[min(count, len(schedule)) - 1]
+                        due_us = at_us + minutes * 60_000_000
         now_us = state.getCurrentProcessingTimeMs() * 1000
         if due_us is not None and due_us <= now_us:
             yield event(item, "retry", count, due_us, error)
@@ -138,6 +146,6 @@ def stream_health(changes: DataFrame, state_path: str, added_path: str, out_path
 
     def measure(batch: DataFrame, number: int) -> None:
         health = state_health(current_state(batch.sparkSession, state_path, added_path))
-        write_batch(health, out_path, number)
+        write_batch(health, out_path, number, query_id(batch.sparkSession))
 
     return changes.writeStream.foreachBatch(measure)
