@@ -17,6 +17,7 @@ matching gives), and repeats are possessive where nothing can be given back.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -48,53 +49,68 @@ FOLDS = 5
 CHUNK = 256
 
 
-def _running_sum(numbers: Column) -> Column:
-    """Sums of the first 1, 2, ... entries of an array of longs."""
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(numbers: Column, first: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """What the first 1, 2, ... entries of an array of longs (a variable) combine to."""
     chunks = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / CHUNK).cast("int"))
+    none = F.array().cast("array<bigint>")
+
+    def step(state: Column, x: Column) -> Column:
+        return _bound(
+            combine(state["total"], x),
+            lambda t: F.struct(t.alias("total"), F.concat(state["some"], F.array(t)).alias("some")),
+        )
 
     def chunk(state: Column, k: Column) -> Column:
-        own = F.aggregate(
-            F.slice(numbers, k * CHUNK + 1, F.lit(CHUNK)),
-            F.struct(state["total"].alias("total"), F.array().cast("array<bigint>").alias("sums")),
-            lambda s, x: F.struct(
-                (s["total"] + x).alias("total"), F.concat(s["sums"], F.array(s["total"] + x)).alias("sums")
-            ),
+        start = F.struct(state["total"].alias("total"), none.alias("some"))
+        own = F.aggregate(F.slice(numbers, k * CHUNK + 1, F.lit(CHUNK)), start, step)
+        return _bound(
+            own,
+            lambda o: F.struct(o["total"].alias("total"), F.concat(state["all"], F.array(o["some"])).alias("all")),
         )
-        return F.struct(own["total"].alias("total"), F.concat(state["all"], F.array(own["sums"])).alias("all"))
 
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("total"), F.array().cast("array<array<bigint>>").alias("all")
-    )
-    return F.when(F.size(numbers) > 0, F.flatten(F.aggregate(chunks, start, chunk)["all"])).otherwise(
-        F.array().cast("array<bigint>")
-    )
+    start = F.struct(first.cast("bigint").alias("total"), F.array().cast("array<array<bigint>>").alias("all"))
+    return F.when(F.size(numbers) > 0, F.flatten(F.aggregate(chunks, start, chunk)["all"])).otherwise(none)
 
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, found, before, after>> of all matches; code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    pieces = F.split(text, pattern, -1)
-    pairs = F.zip_with(
-        F.slice(pieces, F.lit(1), F.size(found)),
-        found,
-        lambda p, m: F.struct(p.alias("piece"), m.alias("found")),
-    )
-    ends = _running_sum(
-        F.transform(pairs, lambda x: (F.length(x["piece"]) + F.length(x["found"])).cast("bigint"))
-    )
-    placed = F.zip_with(
-        F.zip_with(pairs, ends, lambda x, e: F.struct(x["piece"].alias("piece"), x["found"].alias("found"), e.alias("end"))),
-        F.slice(pieces, F.lit(2), F.size(found)),
-        lambda x, rest: F.struct(
-            (x["end"] - F.length(x["found"])).alias("start"),
-            x["end"].alias("end"),
-            x["found"].alias("found"),
-            F.right(x["piece"], F.lit(16)).alias("before"),
-            F.left(rest, F.lit(1)).alias("after"),
-        ),
-    )
     none = F.array().cast("array<struct<start:bigint,end:bigint,found:string,before:string,after:string>>")
-    return F.when(F.regexp_like(text, F.lit(pattern)), placed).otherwise(none)
+
+    def placed(cut: Column) -> Column:
+        found, pieces = cut["found"], cut["pieces"]
+        sizes = F.zip_with(
+            F.slice(pieces, F.lit(1), F.size(found)),
+            found,
+            lambda p, m: (F.length(p) + F.length(m)).cast("bigint"),
+        )
+        ends = _bound(sizes, lambda n: _running(n, F.lit(0), lambda t, x: t + x))
+        ended = F.zip_with(found, ends, lambda m, e: F.struct(m.alias("found"), e.alias("end")))
+        around = F.zip_with(
+            F.slice(pieces, F.lit(1), F.size(found)),
+            F.slice(pieces, F.lit(2), F.size(found)),
+            lambda p, q: F.struct(F.right(p, F.lit(16)).alias("before"), F.left(q, F.lit(1)).alias("after")),
+        )
+        return F.zip_with(
+            ended,
+            around,
+            lambda x, y: F.struct(
+                (x["end"] - F.length(x["found"])).alias("start"),
+                x["end"].alias("end"),
+                x["found"].alias("found"),
+                y["before"].alias("before"),
+                y["after"].alias("after"),
+            ),
+        )
+
+    cut = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"), F.split(text, pattern, -1).alias("pieces")
+    )
+    return F.when(F.regexp_like(text, F.lit(pattern)), _bound(cut, placed)).otherwise(none)
 
 
 def _digits(found: Column) -> Column:
@@ -274,30 +290,57 @@ def grow(rows: list[tuple[tuple[int, ...], int, int, bool]]) -> Trees:
     return Trees(start, tuple(trees), threshold)
 
 
-def _meets(spans: Column, start: Column, end: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < end) & (start < b["end"]))
+def _marked(base: Column, loose: Column) -> Column:
+    """The loose candidates by start, with ``known``: whether they overlap a base span.
+
+    Both are sorted together; the furthest end of base spans so far, and the next start of one
+    to come, tell it in one pass each way.
+    """
+
+    def entry(loosely: bool):
+        def one(c: Column) -> Column:
+            fields = [c[f].alias(f) if loosely else F.lit(0).alias(f) for f in FEATURES]
+            return F.struct(c["start"].alias("start"), F.lit(loosely).alias("loose"), c["end"].alias("end"), *fields)
+
+        return one
+
+    def mark(rows: Column) -> Column:
+        far = F.transform(rows, lambda r: F.when(~r["loose"], r["end"]))
+        near = F.reverse(F.transform(rows, lambda r: F.when(~r["loose"], r["start"])))
+        none = F.lit(None)
+        so_far = _bound(far, lambda n: _running(n, none, lambda t, x: F.greatest(t, x)))
+        to_come = F.reverse(_bound(near, lambda n: _running(n, none, lambda t, x: F.least(t, x))))
+        sides = F.zip_with(so_far, to_come, lambda a, b: F.struct(a.alias("far"), b.alias("near")))
+        joined = F.zip_with(
+            rows,
+            sides,
+            lambda r, s: F.struct(
+                r["start"].alias("start"),
+                r["end"].alias("end"),
+                r["loose"].alias("loose"),
+                *(r[f].alias(f) for f in FEATURES),
+                (F.coalesce(s["far"] > r["start"], F.lit(False)) | F.coalesce(s["near"] < r["end"], F.lit(False))).alias("known"),
+            ),
+        )
+        return F.filter(joined, lambda r: r["loose"])
+
+    return _bound(F.array_sort(F.concat(F.transform(base, entry(False)), F.transform(loose, entry(True)))), mark)
 
 
 def detect(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Staged (doc_id, email, ip, card, phone, base, loose, fold), and the cells of its candidates."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", *(c.alias(k) for k, c in base_spans(F.col("text")).items()), candidates(F.col("text")).alias("loose"))
-    rows = staged(rows, "pii")
+    found = F.struct(*(c.alias(k) for k, c in base_spans(F.col("text")).items()), candidates(F.col("text")).alias("_loose"))
+    rows = rows.select("doc_id", F.inline(F.array(found)))
     base = F.array_sort(F.concat(*KINDS))
-    rows = rows.withColumn("base", base)
+    rows = rows.select("doc_id", *KINDS, F.inline(F.array(F.struct(base.alias("base"), F.col("_loose")))))
+    rows = rows.select("doc_id", *KINDS, "base", _marked(F.col("base"), F.col("_loose")).alias("loose"))
+    rows = staged(rows, "pii")
     fold = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(FOLDS)) == 0
-    loose = rows.select(
-        fold.alias("held"),
-        F.explode(
-            F.transform(
-                "loose",
-                lambda c: F.struct(
-                    *(c[f].alias(f) for f in FEATURES), _meets(F.col("base"), c["start"], c["end"]).alias("known")
-                ),
-            )
-        ).alias("c"),
-    ).select("held", "c.*")
+    loose = rows.select(fold.alias("held"), F.explode("loose").alias("c")).select(
+        "held", *(F.col("c")[f].alias(f) for f in (*FEATURES, "known"))
+    )
     cells = loose.groupBy("held", *FEATURES).agg(
         F.count("*").alias("n"), F.sum(F.col("known").cast("long")).alias("yes")
     )
@@ -312,14 +355,12 @@ def fit_trees(cells: DataFrame) -> Trees:
     return grow(found)
 
 
-def _added(base: Column, loose: Column, trees: Trees) -> Column:
+def _added(loose: Column, trees: Trees) -> Column:
     """Chosen candidates that meet no base span, as spans of the kind after the base ones."""
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     if math.isinf(trees.threshold):
         return none
-    chosen = F.filter(
-        loose, lambda c: (trees.score(c) >= trees.threshold) & ~_meets(base, c["start"], c["end"])
-    )
+    chosen = F.filter(loose, lambda c: ~c["known"] & (trees.score(c) >= trees.threshold))
     return F.transform(
         chosen, lambda c: F.struct(c["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), c["end"].alias("end"))
     )
@@ -346,7 +387,7 @@ def find_private(docs: DataFrame) -> DataFrame:
     """
     rows, cells = detect(docs)
     trees = fit_trees(cells)
-    spans = F.array_sort(F.array_distinct(F.concat("base", _added(F.col("base"), F.col("loose"), trees))))
+    spans = F.array_sort(F.array_distinct(F.concat("base", _added(F.col("loose"), trees))))
     return rows.select(
         "doc_id",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
@@ -370,8 +411,10 @@ def redact(docs: DataFrame) -> DataFrame:
         *(F.col(f"`{c}`").alias(n) for c, n in own.items()),
         F.inline(F.array(F.struct(base.alias("_base"), candidates(text).alias("_loose")))),
     )
-    every = F.array_sort(F.concat("_base", _added(F.col("_base"), F.col("_loose"), trees)))
-    found = found.withColumn("_spans", every)
+    kept = list(own.values())
+    found = found.select(*kept, "_base", F.inline(F.array(F.struct(_marked(F.col("_base"), F.col("_loose")).alias("_marks")))))
+    every = F.array_sort(F.concat("_base", _added(F.col("_marks"), trees)))
+    found = found.select(*kept, F.inline(F.array(F.struct(every.alias("_spans")))))
     body = F.col(own["text"])
     names = F.array(*(F.lit(f"[{k}]") for k in (*KINDS, "other")))
 

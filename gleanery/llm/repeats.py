@@ -253,23 +253,24 @@ def repeated_intervals(docs: DataFrame, length: int, keep_first: bool, crowded:
     """(doc, key, spans): for each text with repeats, stretches of repeated starts (in no order)."""
     found = _anchors(docs, length, core)
     # Written, so that the joins below read plain tables on both sides and hot hashes can be split.
+    # These tables grow with the input, so no join broadcasts them, however small they are here.
     common = staged(found.groupBy("h").count().filter("count > 1").select("h"), "repeat-hashes")
-    runs = staged(found.join(common, "h"), "repeat-runs")
+    runs = staged(found.join(common.hint("merge"), "h"), "repeat-runs")
     place = F.struct("doc", "key", "first", "last")
     variants = runs.groupBy("h", "seg").agg(F.count("*").alias("m"), F.min(place).alias("rep"))
     variants = staged(variants, "repeat-variants")
 
     # Runs with equal bytes: every start repeats (in the first of them, only for removing all).
-    whole = runs.join(variants.filter("m > 1"), ["h", "seg"])
+    whole = runs.join(variants.filter("m > 1").hint("merge"), ["h", "seg"])
     if keep_first:
         whole = whole.filter(place != F.col("rep"))
     whole = whole.select("doc", "key", "first", "last")
 
     sizes = variants.groupBy("h").count().filter("count > 1").withColumnRenamed("count", "n")
     sizes = staged(sizes, "repeat-sizes")
-    wanted = variants.join(sizes, "h").select("h", "seg", "n", "rep.*")
+    wanted = variants.join(sizes.hint("merge"), "h").select("h", "seg", "n", "rep.*")
     lists = wanted.groupBy("doc", "key").agg(F.collect_list(F.struct("h", "seg", "first", "last")).alias("wanted"))
-    segments = staged(_segments(_packed(docs).join(lists, ["doc", "key"]), length), "repeat-segments")
+    segments = staged(_segments(_packed(docs).join(lists.hint("merge"), ["doc", "key"]), length), "repeat-segments")
     crowd = sizes.filter(F.col("n") > crowded).select("h")
     partial = _sorted_in_tasks(segments.join(crowd, "h", "left_anti"), length, keep_first)
     partial = partial.unionByName(_sorted_by_spark(segments.join(crowd, "h", "left_semi"), length, keep_first))
@@ -279,7 +280,7 @@ def repeated_intervals(docs: DataFrame, length: int, keep_first: bool, crowded:
 
 def _cut(docs: DataFrame, spans: DataFrame, length: int, texts: bool) -> DataFrame:
     """Remove the spans; with the remaining text too, if asked for."""
-    joined = _packed(docs).join(spans, ["doc", "key"], "left")
+    joined = _packed(docs).join(spans.hint("merge"), ["doc", "key"], "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", kept binary" if texts else ""
     names = [c.split()[0] for c in schema.split(", ")]
