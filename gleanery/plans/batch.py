@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,17 +17,32 @@ from gleanery.operators.answers import (
     render_prompts,
     render_skill_prompts,
 )
-from gleanery.operators.captures import extract_main_text, gate_captures, route_captures
+from gleanery.operators.blocks import flatten_block_trees, parse_block_map
+from gleanery.operators.captures import (
+    classify_fetch_outcome,
+    decode_documents,
+    dispatch_sources,
+    extract_main_text,
+    gate_captures,
+    merge_captures,
+    route_captures,
+)
 from gleanery.operators.lifecycle import (
     actionable_items,
     apply_failures,
     apply_success,
+    orphan_artifacts,
     plan_resume,
+    prune_attention,
     run_outputs,
     run_summary,
+    stale_outputs,
 )
+from gleanery.operators.media import combine_clips
 from gleanery.operators.publish import assign_note_names, render_notes, skill_candidates
 from gleanery.operators.registry import register_urls, upsert_state
+from gleanery.operators.repos import assemble_repo_captures
+from gleanery.operators.urls import extract_source_refs
 from gleanery.policy import Policy
 
 
@@ -38,6 +54,26 @@ class Models:
     skill: Callable[[], BatchFunction] | None = None
 
 
+@dataclass(frozen=True)
+class Fetched:
+    """What fetchers brought beside plain pages, each keyed by content_id; any may be absent.
+
+    ``rendered`` (html) holds pages run in a browser, ``repo_meta`` and ``repo_contents``
+    (payload) the two answers about a repository, ``blocks`` (payload) block maps, ``files``
+    (body) downloads, ``clips`` (clip_no, text, language, backend, duration_seconds) the
+    transcripts of an item's clips, ``outcomes`` (source_type, status, headers) how each
+    fetch went. Items of a source without a table are read as plain pages.
+    """
+
+    rendered: DataFrame | None = None
+    repo_meta: DataFrame | None = None
+    repo_contents: DataFrame | None = None
+    blocks: DataFrame | None = None
+    files: DataFrame | None = None
+    clips: DataFrame | None = None
+    outcomes: DataFrame | None = None
+
+
 @dataclass(frozen=True)
 class BatchResult:
     state: DataFrame
@@ -61,11 +97,13 @@ def run_batch(
     folder: str,
     earlier_captures: DataFrame | None = None,
     earlier_enrichments: DataFrame | None = None,
+    fetched: Fetched | None = None,
 ) -> BatchResult:
     """One pass over everything due.
 
     ``responses`` is (content_id, html) for text items, ``transcripts`` is (content_id, text)
-    for media items; a due item without either fails and is retried later. Captures
+    for media items, and ``fetched`` holds what other sources gave; a due item without any of
+    these fails and is retried later. Of several rows for an item the largest text counts. Captures
     (content_id, text) and enrichments (content_id and the record's fields) of an earlier
     run are used again where the state says that step was completed. Every stage is a
     table under ``folder``: a stage is computed once, and a lost executor costs only the
@@ -92,24 +130,18 @@ def run_batch(
     todo = due.select("content_id", "url", "content_kind", "resume_at")
     no_error = F.lit(None).cast("string").alias("error")
 
-    pages = todo.filter("resume_at = 'capture'").join(
-        responses.select("content_id", "html"), "content_id"
-    )
-    read = stage(extract_main_text(pages).drop("html"), "page_text")
-    routed = route_captures(gate_captures(read), policy)
-    clips = todo.filter("resume_at IN ('download', 'transcribe')").join(
-        transcripts.select("content_id", "text"), "content_id"
-    )
+    given = fetched or Fetched()
+    texts = stage(_captured_texts(todo.filter("resume_at = 'capture'"), responses, given, policy), "page_text")
+    spoken = transcripts.select("content_id", "text")
+    if given.clips is not None:
+        spoken = spoken.unionByName(_whole(combine_clips(given.clips), "content_id", "\n\n"))
+    clips = todo.filter("resume_at IN ('download', 'transcribe')").join(_single(spoken, "text"), "content_id")
     reused = todo.filter("resume_at IN ('enrich', 'write_note')").join(
         old_captures.select("content_id", "text"), "content_id"
     )
-    problem = F.when(F.col("route") == "needs_render", "page needs rendering").otherwise(F.col("error"))
     captures = stage(
-        routed.select(
-            *todo.columns,
-            F.when(F.col("route") == "captured", F.col("text")).alias("text"),
-            problem.alias("error"),
-        )
+        todo.join(texts, "content_id")
+        .select(*todo.columns, "text", "error")
         .unionByName(clips.select(*todo.columns, "text", no_error))
         .unionByName(reused.select(*todo.columns, "text", no_error)),
         "captures",
@@ -181,6 +213,79 @@ def run_batch(
     return BatchResult(final, notes, skills, attention, run_outputs(changed), run_summary(changed))
 
 
+def _single(rows: DataFrame, column: str) -> DataFrame:
+    return rows.groupBy("content_id").agg(F.max(column).alias(column))
+
+
+def _whole(parts: DataFrame, key: str, sep: str) -> DataFrame:
+    """(key, text): the numbered parts of each text joined again."""
+    ordered = F.array_sort(F.collect_list(F.struct("part_no", "text")))
+    text = F.array_join(F.transform(ordered, lambda p: p["text"]), sep)
+    return parts.groupBy(key).agg(text.alias("text"))
+
+
+def _captured_texts(todo: DataFrame, responses: DataFrame, given: Fetched, policy: Policy) -> DataFrame:
+    """(content_id, text, error) of the text items something was fetched for, each by its source."""
+    items = extract_source_refs(dispatch_sources(todo.select("content_id", "url", "content_kind")))
+    legs = []
+    if given.outcomes is not None:
+        told = classify_fetch_outcome(items.select("content_id", "url").join(given.outcomes, "content_id"))
+        lost = told.filter("error IS NOT NULL").groupBy("content_id").agg(F.max("error").alias("error"))
+        legs.append(lost.select("content_id", F.lit(None).cast("string").alias("text"), "error"))
+        items = items.join(lost.select("content_id"), "content_id", "left_anti")
+    own = {"repo": given.repo_meta, "blocks": given.blocks, "file": given.files}
+    served = [name for name, rows in own.items() if rows is not None]
+    plain = items.filter(~F.col("route").isin(*served)) if served else items
+
+    def of(name: str, rows: DataFrame, column: str) -> DataFrame:
+        return items.filter(F.col("route") == name).join(_single(rows, column), "content_id")
+
+    if given.repo_meta is not None and given.repo_contents is not None:
+        repos = assemble_repo_captures(of("repo", given.repo_meta, "payload"), _single(given.repo_contents, "payload"))
+        legs.append(repos.select("content_id", "text", "error"))
+    if given.blocks is not None:
+        asked = of("blocks", given.blocks, "payload").select("content_id", "page_id", "payload")
+        rows = parse_block_map(_single(asked.select(F.col("page_id").alias("content_id"), "payload"), "payload").withColumnRenamed("content_id", "page_id"))
+        found = rows.filter("parent_id IS NULL").select("page_id").distinct()
+        read = _whole(flatten_block_trees(rows.join(found, "page_id", "left_semi")), "page_id", "\n")
+        missing = F.when(F.col("text").isNull(), "page was not found or is not public")
+        legs.append(asked.join(read, "page_id", "left").select("content_id", "text", missing.alias("error")))
+    if given.files is not None:
+        legs.append(decode_documents(of("file", given.files, "body")).select("content_id", "text", "error"))
+    pages = plain.join(_single(responses, "html"), "content_id")
+    read = route_captures(gate_captures(extract_main_text(pages).drop("html")), policy)
+    shown = read.select("content_id", "url", "text", "route", "error")
+    if given.rendered is not None:
+        again = shown.filter("route = 'needs_render'").select("content_id", "url")
+        again = extract_main_text(again.join(_single(given.rendered, "html"), "content_id")).drop("html")
+        again = route_captures(gate_captures(again), policy, rendered=True)
+        shown = merge_captures(shown, again.select("content_id", "text", "route", "error"))
+    problem = F.when(F.col("route") == "needs_render", "page needs rendering").otherwise(F.col("error"))
+    kept = F.when(F.col("route") == "captured", F.col("text"))
+    legs.append(shown.select("content_id", kept.alias("text"), problem.alias("error")))
+    return reduce(DataFrame.unionByName, legs)
+
+
+@dataclass(frozen=True)
+class Housekeeping:
+    """Plans of what a run leaves to tidy up: rows to delete, and the attention rows to keep."""
+
+    stale: DataFrame
+    orphans: DataFrame
+    attention: DataFrame
+
+
+def plan_housekeeping(
+    before: DataFrame, after: DataFrame, artifacts: DataFrame, attention: DataFrame, as_of: datetime, days: int
+) -> Housekeeping:
+    """What a finished run makes superfluous; ``days`` is the retention of artifacts and log."""
+    return Housekeeping(
+        stale_outputs(before, after),
+        orphan_artifacts(artifacts, as_of, days, after),
+        prune_attention(attention, as_of, days),
+    )
+
+
 def _keep_captured(state: DataFrame, missed: DataFrame) -> DataFrame:
     """Rows of the failed items, marked as transcribed where this run got that far."""
     later = F.col("captured") & ~F.coalesce(F.col("last_completed_stage") == "enriched", F.lit(False))

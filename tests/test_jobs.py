@@ -1,14 +1,16 @@
 """The whole batch and the streams."""
 
+import json
 import sys
 from datetime import timedelta
 
 import pandas as pd
+import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from gleanery.operators.urls import assign_content_ids, canonicalize_urls
-from gleanery.plans.batch import Models, run_batch
+from gleanery.plans.batch import Fetched, Models, plan_housekeeping, run_batch
 from gleanery.policy import Policy
 from gleanery.schemas import STATE, SUBMISSIONS, parse
 from gleanery.sources import storage
@@ -84,6 +86,46 @@ def test_batch_end_to_end_and_again(spark, now, tmp_path):
     assert again[urls[3]].status == "failed" and again[urls[3]].attempt_count == 2
 
 
+def test_each_source_is_captured_in_its_own_way(spark, now, tmp_path):
+    page = "11111111222233334444555555555555"
+    dashed = "11111111-2222-3333-4444-555555555555"
+    urls = {
+        "repo": "https://github.com/o/r", "blocks": f"https://team.notion.site/T-{page}", "file": "https://drive.google.com/file/d/f1/view",
+        "shell": "https://a.org/shell", "away": "https://a.org/away", "clips": "https://youtu.be/v",
+    }
+    ids = {r.name: r.content_id for r in assign_content_ids(canonicalize_urls(spark.createDataFrame(list(urls.items()), "name STRING, url STRING"))).collect()}
+
+    def rows(column, **values):
+        return spark.createDataFrame([(ids[k], v) for k, v in values.items()], f"content_id STRING, {column}")
+
+    block = {"value": {"id": dashed, "type": "page", "properties": {"title": [["Block title"]]}, "content": []}}
+    for _ in range(12):
+        block = {"value": block}
+    given = Fetched(
+        rendered=rows("html STRING", shell=PAGE),
+        repo_meta=rows("payload STRING", repo=json.dumps({"stargazers_count": 3, "description": "about"})),
+        repo_contents=rows("payload STRING", repo=json.dumps({"content": "readme text"})),
+        blocks=rows("payload STRING", blocks=json.dumps({"recordMap": {"block": {dashed: block}}})),
+        files=rows("body BINARY", file=b"plain file text"),
+        clips=spark.createDataFrame([(ids["clips"], i, f"clip {i}", "en", "b", 1.0) for i in (2, 1)], "content_id STRING, clip_no INT, text STRING, language STRING, backend STRING, duration_seconds DOUBLE"),
+        outcomes=spark.createDataFrame([(ids["away"], "html", 500, {"a": "b"})], "content_id STRING, source_type STRING, status INT, headers MAP<STRING, STRING>"),
+    )
+    empty = spark.createDataFrame([], parse(STATE))
+    pages = [(urls["shell"], "<body></body>"), (urls["away"], PAGE), (urls["shell"], "")]
+    out = run(spark, list(urls.values()), empty, pages, [], now, str(tmp_path / "b"), fetched=given)
+    state = {r.url: r for r in out.state.collect()}
+    assert {k: state[u].status for k, u in urls.items()} == {k: "failed" if k == "away" else "done" for k in urls}
+    assert "500" in state[urls["away"]].error
+    text = {r.content_id: r.text for r in spark.read.parquet(str(tmp_path / "b" / "captures")).collect()}
+    assert "readme text" in text[ids["repo"]] and "Block title" in text[ids["blocks"]] and text[ids["file"]] == "plain file text"
+    assert "useful words" in text[ids["shell"]] and text[ids["clips"]] == "[Clip 1/2] clip 1\n\n[Clip 2/2] clip 2"
+    moved = out.state.withColumn("note_path", F.concat(F.lit("new-"), "note_path"))
+    files = spark.createDataFrame([(ids["repo"], "old.json", now - timedelta(days=40))], "content_id STRING, path STRING, modified_at TIMESTAMP")
+    plan = plan_housekeeping(out.state, moved, files, out.attention, now, 30)
+    assert plan.stale.filter("kind = 'note'").count() == 5 and plan.orphans.count() == 1
+    assert plan.attention.count() == out.attention.count()
+
+
 def test_a_failed_skill_leaves_the_note_done(spark, now, tmp_path):
     def away():
         def model(rows):
@@ -118,6 +160,38 @@ def test_stream_registers_each_key_once_even_when_redelivered(spark, now, tmp_pa
     assert added.select("content_id").distinct().count() == 3
 
 
+@pytest.mark.parametrize("batch_rows", [1, 2, 10_000])
+def test_retry_stream_orders_an_item_whatever_the_batch_size(spark, tmp_path, batch_rows):
+    root = str(tmp_path)
+    schema = "content_id STRING, attempt_id LONG, attempt_ts TIMESTAMP, kind STRING, ok BOOLEAN, error STRING"
+    begin = pd.Timestamp("2026-01-01")
+    rows = [("a", i, (begin + pd.Timedelta(seconds=i)).to_pydatetime(), "attempt", i == 7, "e") for i in range(8)]
+    rows += [("b", i, (begin + pd.Timedelta(seconds=i)).to_pydatetime(), "attempt", False, f"e{i}") for i in range(3)]
+    spark.createDataFrame(rows[::-1], schema).coalesce(1).write.parquet(f"{root}/in")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, batch_rows)
+    try:
+        stream = spark.readStream.schema(schema).parquet(f"{root}/in")
+        out = jobs.stream_retries(stream, Policy(max_attempts=9)).writeStream.format("parquet").option("path", f"{root}/out")
+        jobs.drain(out.option("checkpointLocation", f"{root}/ck"), spark)
+    finally:
+        spark.conf.set(setting, before)
+    got = [(r.content_id, r.event, r.attempt_count, r.error) for r in spark.read.parquet(f"{root}/out").collect()]
+    assert got == [("b", "retry", 3, "e2")]
+
+
+def test_a_new_checkpoint_overwrites_nothing(spark, now, tmp_path):
+    root = str(tmp_path)
+    for n in (1, 2):
+        (tmp_path / f"in{n}").mkdir()
+        (tmp_path / f"in{n}" / "1.json").write_text(f'{{"seq": {n}, "url": "https://a.org/{n}"}}\n')
+        stream = spark.readStream.schema("seq LONG, url STRING, submitted_at TIMESTAMP").json(f"{root}/in{n}").withColumn("source", F.lit("webhook"))
+        writer = jobs.stream_register(stream, f"{root}/state", f"{root}/added", f"{root}/attention", Policy(), now)
+        jobs.drain(writer.option("checkpointLocation", f"{root}/ck{n}"), spark)
+    assert {r.url for r in storage.read_batches(spark, f"{root}/added").collect()} == {"https://a.org/1", "https://a.org/2"}
+
+
 def test_retry_stream_waits_and_gives_up(spark, tmp_path):
     root = str(tmp_path)
     schema = "content_id STRING, attempt_id LONG, attempt_ts TIMESTAMP, kind STRING, ok BOOLEAN, error STRING"

@@ -200,3 +200,10 @@ def test_media_listing_and_notes(spark, tmp_path):
 def test_unreadable_artifacts_are_missing(spark):
     rows = spark.createDataFrame([("a", '{"text": "x", "backend": "b"}'), ("b", "{cut"), ("c", "")], "content_id STRING, value STRING")
     assert [r.content_id for r in files.parse_artifacts(rows, "text STRING, backend STRING").collect()] == ["a"]
+
+
+def test_the_last_of_several_changes_counts(spark, now):
+    old = states(spark, ("a", "pending", {}))
+    changes = states(spark, ("a", "failed", {}), ("a", "done", {}), ("b", "pending", {}))
+    got = registry.upsert_state(old, changes, now, F.length("status")).collect()
+    assert sorted((r.content_id, r.status) for r in got) == [("a", "failed"), ("b", "pending")]

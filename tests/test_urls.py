@@ -159,3 +159,10 @@ def test_source_refs(spark):
     assert got[3][4] == "01234567-89ab-cdef-0123-456789abcdef"
     assert got[4][5:] == ("abc-12_3", 7)
     assert got[5][6] is None
+
+
+@pytest.mark.parametrize("more", [0, 199, 200, 400])
+def test_hosts_that_are_null_are_not_listed(spark, more):
+    domains = ("a.org", *(f"d{i}.net" for i in range(more)))
+    df = spark.createDataFrame([(None,), ("x.a.org",), ("b.org",)], "host STRING")
+    assert [r.listed for r in urls.match_domains(df, domains).orderBy("host").collect()] == [False, False, True]
