@@ -172,3 +172,9 @@ def test_main_text(spark):
     got = [r.text for r in captures.extract_main_text(pages).collect()]
     assert got[0] == "T & U\none two\nthree ’ A � <b>\nPlease enable JavaScript\ntail"
     assert got[1:] == ["no root", "", "m\nunclosed"]
+
+
+def test_the_last_of_repeated_keys_counts(spark):
+    text = '{"title": "first", "summary": "s", "title": "last", "tags": ["a"], "tags": ["b", "c"]}'
+    row = answers.parse_enrichments(spark.createDataFrame([(text,)], "text STRING")).first()
+    assert (row.error, row.title, row.tags) == (None, "last", ["b", "c"])
