@@ -152,8 +152,8 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def _segments(joined: DataFrame, length: int) -> DataFrame:
     """Cut the wanted segments out of their texts."""
-    schema = "h long, seg long, doc long, key long, first long, body binary"
-    names = ["h", "seg", "doc", "key", "first", "body"]
+    schema = "h long, seg long, n long, doc long, key long, first long, body binary"
+    names = ["h", "seg", "n", "doc", "key", "first", "body"]
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -162,9 +162,11 @@ def _segments(joined: DataFrame, length: int) -> DataFrame:
             out: list[tuple] = []
             for doc, key, text, wanted in zip(docs.to_pylist(), keys.to_pylist(), texts, lists.to_pylist(), strict=True):
                 body = press.decompress(text.as_py())
-                out += [(w["h"], w["seg"], doc, key, w["first"], body[w["first"] : w["last"] + length]) for w in wanted]
+                out += [
+                    (w["h"], w["seg"], w["n"], doc, key, w["first"], body[w["first"] : w["last"] + length]) for w in wanted
+                ]
             if out:
-                kinds = [pa.int64()] * 5 + [pa.binary()]
+                kinds = [pa.int64()] * 6 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names
                 )
@@ -269,11 +271,11 @@ def repeated_intervals(docs: DataFrame, length: int, keep_first: bool, crowded:
     sizes = variants.groupBy("h").count().filter("count > 1").withColumnRenamed("count", "n")
     sizes = staged(sizes, "repeat-sizes")
     wanted = variants.join(sizes.hint("merge"), "h").select("h", "seg", "n", "rep.*")
-    lists = wanted.groupBy("doc", "key").agg(F.collect_list(F.struct("h", "seg", "first", "last")).alias("wanted"))
+    lists = wanted.groupBy("doc", "key").agg(F.collect_list(F.struct("h", "seg", "n", "first", "last")).alias("wanted"))
     segments = staged(_segments(_packed(docs).join(lists.hint("merge"), ["doc", "key"]), length), "repeat-segments")
-    crowd = sizes.filter(F.col("n") > crowded).select("h")
-    partial = _sorted_in_tasks(segments.join(crowd, "h", "left_anti"), length, keep_first)
-    partial = partial.unionByName(_sorted_by_spark(segments.join(crowd, "h", "left_semi"), length, keep_first))
+    # ``n``, the group's number of variants, came along, so that no join is needed to tell them.
+    partial = _sorted_in_tasks(segments.filter(F.col("n") <= crowded), length, keep_first)
+    partial = partial.unionByName(_sorted_by_spark(segments.filter(F.col("n") > crowded), length, keep_first))
     every = whole.unionByName(partial)
     return every.groupBy("doc", "key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
