@@ -9,9 +9,32 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import fingerprint, mixing, neighbours, packing, pii, repeats, sharding, simhash, toxicity, url_filter
 
+REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT r, x, unnest(range(0, greatest(0, length(x) // 2 - 399), 300)) AS s FROM d),
+c AS (SELECT r, s, substr(x, CAST(2 * s + 1 AS BIGINT), 1398) AS y FROM b),
+w AS (SELECT r, s, y, unnest(range(0, least(300, length(y) // 2 - 399))) AS i FROM c),
+h AS (SELECT r, s + i AS p, md5(substr(y, CAST(2 * i + 1 AS BIGINT), 800)) AS k FROM w),
+many AS (SELECT k FROM h GROUP BY k HAVING count(*) > 1),
+starts AS (SELECT r, p FROM h WHERE k IN (SELECT k FROM many)),
+gaps AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 400 THEN 0 ELSE 1 END AS fresh FROM starts),
+runs AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS n FROM gaps),
+spans AS (SELECT r, min(p) AS a, max(p) + 400 AS b FROM runs GROUP BY r, n),
+cuts AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS z FROM spans),
+kept AS (
+  SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+    string_agg(substr(x, CAST(2 * z + 1 AS BIGINT), CAST(2 * (a - z) AS BIGINT)), '' ORDER BY a) AS head
+  FROM cuts JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(x, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+#: Only what SQL can express: the other operators are models, fingerprints, tokens and seeded draws.
+ORACLES: dict[str, str] = {"op9_repeats": REPEATS_SQL}
 
 
 def query(fn: Query) -> Query:
