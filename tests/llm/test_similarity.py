@@ -66,7 +66,7 @@ def test_links_connect_what_brute_force_connects(spark, crowded):
                 start ^= 1 << rng.randrange(64)
             values.add(start)
     signed = [(v - 2**64 if v >= 2**63 else v,) for v in values]
-    edges = simhash.links(spark.createDataFrame(signed, "fp long"), crowded=crowded)
+    edges = simhash.links(spark.createDataFrame([(0, *v) for v in signed], "k long, fp long"), crowded=crowded).drop("k")
     found = {r.node % 2**64: r.root % 2**64 for r in simhash.components(edges).collect()}
     want = classes(values)
     groups = Counter(want.values())
@@ -85,6 +85,28 @@ def test_one_of_each_keeps_the_smallest(spark):
     assert simhash.one_of_each(documents(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("crowded", [3, 4096])
+def test_one_of_each_is_what_brute_force_keeps(spark, crowded):
+    rng = random.Random(8)
+    rows = []
+    for n in range(25):
+        words = prose(100 + n, 200, 5000).split()
+        for _ in range(4):
+            copy = list(words)
+            for _ in range(rng.choice([0, 1, 2, 30])):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(9999)}"
+            rows.append((len(rows), " ".join(copy), "s"))
+    prints = [simhash.several_fingerprints(t.encode(), 5, 8) for _, t, _ in rows]
+    names = list(range(len(rows)))
+    for i in names:
+        for j in range(i):
+            if any((a ^ b).bit_count() <= 4 for a, b in zip(prints[i], prints[j], strict=True)):
+                old, new = sorted((names[i], names[j]), reverse=True)
+                names = [new if x == old else x for x in names]
+    got = {r.doc_id for r in simhash.one_of_each(documents(spark, rows), crowded=crowded).collect()}
+    assert got == set(names) and 25 <= len(got) < 60
+
+
 def plain_removal(texts, length, keep_first):
     """texts: (key, bytes) in order."""
     places = {}
