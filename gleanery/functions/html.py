@@ -36,7 +36,7 @@ TAGS = r"<[!/?a-zA-Z][^<>]*>"
 def without_noise(html: Column) -> Column:
     """Comments, dropped elements and ads become one blank each, with all they hold.
 
-    The page is cut at each ``<`` and walked once. Inside a dropped element only tags of its own
+    The page is cut at each tag that may matter and walked once. Inside a dropped element only tags of its own
     name count, up for an opening and down for a closing one; it ends at depth 0, or with
     the page when it is never closed. Scripts and styles hold no tags.
     """
@@ -83,7 +83,12 @@ def without_noise(html: Column) -> Column:
 
     nothing = F.array().cast("array<string>")
     # One entry, so that the cut page is a variable of the walk and not cut again at each step.
-    page = F.array(F.split(html, "(?=<)"))
+    def cut(names: tuple[str, ...]) -> Column:
+        return F.split(html, rf"(?i)(?=<(?:!--|/?(?:{'|'.join(names)})\b))")
+
+    # Pages without an ad are cut at fewer tags.
+    with_ads = F.regexp_like(html, F.lit(r"(?i)\bclass\s*=\s*[\"']?ad[\"']?[\s>]"))
+    page = F.array(F.when(with_ads, cut((*DROPPED_ELEMENTS, *AD_ELEMENTS))).otherwise(cut(DROPPED_ELEMENTS)))
     return F.transform(page, lambda pieces: _walk(pieces, facts, step, nothing))[0]
 
 

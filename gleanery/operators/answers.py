@@ -41,6 +41,7 @@ TRUE_WORDS = ("1", "true", "t", "yes", "y", "on")
 FALSE_WORDS = ("0", "false", "f", "no", "n", "off")
 
 CHAT_PROVIDERS = ("groq", "cerebras")
+# What spent quotas say.
 EXHAUSTED = (
     "Gemini response had no text content: max_tokens was exhausted (likely by the model's "
     "internal 'thinking' before any answer text) - try raising max_tokens."

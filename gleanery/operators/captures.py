@@ -36,6 +36,7 @@ CHALLENGE_MARKERS = (
 SHORTEST_PAGE = 60
 OPENING = 600
 
+# Fixed value: the wording of the error.
 BINARY_NOTE = (
     " is a binary format (PDF/PPTX/DOCX/etc.) - not supported yet, "
     "only plain text/markdown/HTML files are read"

@@ -12,6 +12,7 @@ from gleanery.operators.lookup import lookup
 from gleanery.operators.once import computed_once
 from gleanery.policy import PROBED_HOST, Policy
 
+# Fixed value: the wording of the refusal.
 BLOCKED_NOTE = (
     "is blocked by default (no browser automation / scraping ingestion for this platform). "
     "Use manual paste, webhook, or share-sheet export instead."

@@ -75,6 +75,7 @@ class Policy:
     allowed_domains: tuple[str, ...] = MEDIA_DOMAINS
     blocked_domains: tuple[str, ...] = ()
     text_blocked_domains: tuple[str, ...] = ()
+    # The usual waits and the number of attempts.
     backoff_minutes: tuple[int, ...] = (1, 5, 30, 120, 480)
     max_attempts: int = 5
     call_intervals: dict[str, float] = field(default_factory=lambda: dict(CALL_INTERVALS))

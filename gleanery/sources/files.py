@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.text import iso_utc, strip
 from gleanery.schemas import LOGS, parse
+from gleanery.sources.storage import finished_versions
 
 FRONT_MATTER = r"\A---\n([\s\S]*?)\n---\n"
 
@@ -44,7 +45,13 @@ def remaining_inbox(spark: SparkSession, path: str) -> DataFrame:
 def stream_submissions(spark: SparkSession, path: str) -> DataFrame:
     """Submission events {url} landing as JSON files."""
     events = spark.readStream.schema("seq LONG, url STRING, submitted_at TIMESTAMP").json(path)
-    return events.withColumn("source", F.lit("webhook"))
+    # A bare {url} takes its place and time from the file it came in.
+    return events.select(
+        F.coalesce("seq", "_metadata.file_block_start").alias("seq"),
+        "url",
+        F.coalesce("submitted_at", "_metadata.file_modification_time").alias("submitted_at"),
+        F.lit("webhook").alias("source"),
+    )
 
 
 def parse_attention(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -109,9 +116,28 @@ def list_media(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def write_notes(notes: DataFrame, path: str) -> None:
-    """Replace the notes table (content_id, note_path, content)."""
-    notes.write.mode("overwrite").parquet(path)
+def write_notes(notes: DataFrame, path: str) -> int:
+    """Add notes (content_id, note_path, content) to the notes table and return its new version.
+
+    A note replaces the one at its path; all others stay. Of several texts for a path in
+    one call the largest (content_id, content) counts.
+    """
+    spark = notes.sparkSession
+    last = notes.groupBy("note_path").agg(F.max(F.struct("content_id", "content")).alias("_n"))
+    table = last.select("_n.content_id", "note_path", "_n.content")
+    versions = finished_versions(spark, path)
+    if versions:
+        old = spark.read.parquet(f"{path}/v={versions[-1]}")
+        table = table.unionByName(old.join(last.select("note_path"), "note_path", "left_anti"))
+    number = versions[-1] + 1 if versions else 1
+    table.write.mode("overwrite").parquet(f"{path}/v={number}")
+    return number
+
+
+def read_notes_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The latest notes table, or None when there is none."""
+    versions = finished_versions(spark, path)
+    return spark.read.parquet(f"{path}/v={versions[-1]}") if versions else None
 
 
 def parse_notes(notes: DataFrame, content: str = "content") -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from gleanery.operators import publish
 from gleanery.policy import Policy
+from gleanery.sources import files
 from gleanery.sources.files import parse_notes
+from gleanery.streaming import jobs
 
 
 def slug(title):
@@ -123,3 +125,24 @@ def test_organizer_renames_skips_and_settles(spark):
         notes.withColumn("note_path", F.coalesce(rename[F.col("note_path")], "note_path")),
     )
     assert {r.content_id for r in again.collect()} == {"id3"}
+
+
+def test_notes_replace_their_own_path_only(spark, tmp_path):
+    schema = "content_id STRING, note_path STRING, content STRING"
+    path = str(tmp_path / "notes")
+    assert files.read_notes_table(spark, path) is None
+    assert files.write_notes(spark.createDataFrame([("a", "a.md", "one"), ("b", "b.md", "two")], schema), path) == 1
+    assert files.write_notes(spark.createDataFrame([("b", "b.md", "new"), ("c", "c.md", "x"), ("c", "c.md", "y")], schema), path) == 2
+    got = {r.note_path: r.content for r in files.read_notes_table(spark, path).collect()}
+    assert got == {"a.md": "one", "b.md": "new", "c.md": "y"}
+
+
+def test_bare_events_take_place_and_time_from_their_file(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "1.json").write_text('{"url": "https://a.org/1"}\n{"url": "https://a.org/2", "seq": 7}\n')
+    writer = files.stream_submissions(spark, str(inbox)).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    jobs.drain(writer.option("checkpointLocation", str(tmp_path / "ck")), spark)
+    rows = {r.url: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert rows["https://a.org/1"].seq == 0 and rows["https://a.org/2"].seq == 7
+    assert all(r.submitted_at is not None and r.source == "webhook" for r in rows.values())
