@@ -36,7 +36,7 @@ from gleanery.llm.common import slices, staged
 
 LENGTH = 400
 CORE = 32
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 #: Variants in a group beyond which Spark sorts its windows.
 CROWDED = 8192
 PLACE_BITS = 24
