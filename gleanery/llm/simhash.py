@@ -44,11 +44,11 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     return several_fingerprints(text, shingle_words, 1)[0]
 
 
-def several_fingerprints(text: bytes, shingle_words: int, count: int) -> list[int]:
-    """Fingerprints of one text by ``count`` independent hashes; the first is the plain one."""
+def shingle_hashes(text: bytes, shingle_words: int) -> np.ndarray:
+    """64-bit hashes of the text's shingles in order, repeats included; none for a text without words."""
     words = text.lower().split()  # bytes: lowers A-Z only, splits at \x20 and \x09-\x0D only
     if not words:
-        return [0] * count
+        return np.empty(0, dtype="<u8")
     joined = b" ".join(words)
     if len(words) <= shingle_words:
         spans = [(0, len(joined))]
@@ -60,7 +60,14 @@ def several_fingerprints(text: bytes, shingle_words: int, count: int) -> list[in
             starts[: len(words) - shingle_words + 1].tolist(), ends[shingle_words - 1 :].tolist(), strict=True
         )
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+
+
+def several_fingerprints(text: bytes, shingle_words: int, count: int) -> list[int]:
+    """Fingerprints of one text by ``count`` independent hashes; the first is the plain one."""
+    hashes = shingle_hashes(text, shingle_words)
+    if not len(hashes):
+        return [0] * count
     out = []
     for k in range(count):
         if k:
