@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import fingerprint, mixing, neighbours, packing, pii, repeats, sharding, simhash, toxicity, url_filter
+from gleanery.llm import (
+    collocations,
+    fingerprint,
+    licences,
+    mixing,
+    neighbours,
+    packing,
+    pii,
+    repeats,
+    sharding,
+    simhash,
+    toxicity,
+    url_filter,
+    whitening,
+)
 
 REPEATS_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
@@ -31,10 +45,42 @@ SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
 FROM d LEFT JOIN kept USING (r)
 """
 
+COLLOCATIONS_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+s AS (SELECT lang, ws, unnest([1, 2, 3]) AS k FROM w),
+g AS (SELECT lang, ws, k, unnest(range(1, greatest(1, len(ws) - k + 2))) AS i FROM s),
+f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+x AS (SELECT lang, k, phrase, a, ws, unnest(range(1, k)) AS cut FROM c),
+y AS (
+  SELECT x.lang, x.k, x.phrase, x.a, x.cut, b.f AS l, e.f AS r,
+    (1000000::HUGEINT * x.a * x.a) // (b.f::HUGEINT * e.f) AS score
+  FROM x JOIN f b ON b.lang = x.lang AND b.phrase = array_to_string(x.ws[1:x.cut], ' ')
+  JOIN f e ON e.lang = x.lang AND e.phrase = array_to_string(x.ws[x.cut + 1:], ' ')),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_parts AS (
+  SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3),
+longer AS (SELECT lang, phrase, max(a) AS m FROM inner_parts GROUP BY ALL),
+kept AS (
+  SELECT z.* FROM z LEFT JOIN longer USING (lang, phrase)
+  WHERE NOT (z.k = 2 AND coalesce(100 * longer.m >= 50 * z.a, false))),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+  CAST(r AS BIGINT) AS r, CAST(n.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Only what SQL can express: the other operators are models, fingerprints, tokens and seeded draws.
-ORACLES: dict[str, str] = {"op9_repeats": REPEATS_SQL}
+ORACLES: dict[str, str] = {"op9_repeats": REPEATS_SQL, "op12_collocations": COLLOCATIONS_SQL}
 
 
 def query(fn: Query) -> Query:
@@ -116,6 +162,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan's digest; the spans themselves are a column of the operator."""
+    return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
