@@ -1,7 +1,8 @@
 """Phrase collocations by Toivonen mining: a sample proposes, full passes count exactly.
 
-1. *Sample.* A quarter of the texts, dealt by a hash, is counted. Phrases below the longest length
-   that occur there at least ``sample_count`` times are proposed.
+1. *Sample.* One in ``sample_one_in`` texts, dealt by a hash, is counted. Phrases below the longest
+   length that occur there at least ``sample_count`` times are proposed. The support asked for is
+   a fixed, small count, so no sample can propose all; one that proposes few wrong ones is cheapest.
 2. *Full pass.* Over all texts it counts every word, and every longer phrase whose two parts of one
    word less (all but its last, all but its first word) are proposed: the proposed phrases and
    their negative border, exactly.
@@ -33,12 +34,13 @@ from gleanery.llm.common import staged
 from gleanery.operators.lookup import lookup
 
 #: One in so many texts is in the sample, and so often must a phrase occur there to be proposed.
-SAMPLE_ONE_IN = 4
-SAMPLE_COUNT = 2
+SAMPLE_ONE_IN = 16
+SAMPLE_COUNT = 3
 #: Bits of a bitmap, as a power of two: 4 MB a length.
 BITS = 25
+PAGE = 1 << 13
 #: Words whose phrases are counted together in a task, and distinct ones among them, at most.
-STRETCH_WORDS = 4_000_000
+STRETCH_WORDS = 3_000_000
 STRETCH_DISTINCT = 500_000
 SLICE_BYTES = 1 << 18
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -106,7 +108,7 @@ class Stretch:
         list of ``before`` has them both. Without ``now`` every phrase counts. ``words``: also give
         single words, and their total as n = 0.
         """
-        codes = np.concatenate(self.codes).astype(np.int64)
+        codes = np.concatenate(self.codes)
         vocabulary = list(self.numbers)
         spelled = pa.array(vocabulary, pa.binary())
         base = len(vocabulary)
@@ -116,32 +118,33 @@ class Stretch:
             yield 0, pa.array([b""], pa.binary()), times[1:].sum(keepdims=True)
             yield 1, spelled.slice(1), times[1:]
         # Per place: number of the phrase of n words that starts there (-1: none that can matter).
-        place = np.where(codes == 0, -1, codes)
+        place = np.where(codes == 0, np.int32(-1), codes)
         grams, names = hashed, spelled
         blank = pa.scalar(b" ", pa.binary())
         for n in range(2, longest + 1):
-            known = _set_in(grams, now, n - 1)
-            earlier = [_set_in(grams, b, n - 1) for b in before]
-            usable = (place >= 0) & known[place]
-            left = np.nonzero(usable[:-1] & usable[1:])[0]
-            last = codes[left + n - 1]
-            key, distinct = pd.factorize(place[left] * base + last)
+            usable = (place >= 0) & _set_in(grams, now, n - 1)[place]
+            left = np.nonzero(usable[:-1] & usable[1:])[0].astype(np.int32)
+            del usable
+            key, distinct = pd.factorize(place[left].astype(np.int64) * base + codes[left + (n - 1)])
             if not len(distinct):
                 return
-            times = np.bincount(key, minlength=len(distinct))
-            first = np.empty(len(distinct), dtype=np.int64)
-            first[key[::-1]] = left[::-1]
-            fresh = np.ones(len(distinct), dtype=bool)
-            for e in earlier:
-                fresh &= ~(e[place[first]] & e[place[first + 1]])
-            head, tail = place[first], codes[first + n - 1]
+            key = key.astype(np.int32)
+            head, tail = distinct // base, distinct % base
             new_names = pa.compute.binary_join_element_wise(names.take(pa.array(head)), spelled.take(pa.array(tail)), blank)
+            fresh = np.ones(len(distinct), dtype=bool)
+            if before:
+                first = np.empty(len(distinct), dtype=np.int32)
+                first[key[::-1]] = left[::-1]
+                second = place[first + 1]
+                for bitmaps in before:
+                    counted = _set_in(grams, bitmaps, n - 1)
+                    fresh &= ~(counted[head] & counted[second])
             at = np.nonzero(fresh)[0]
             if len(at):
-                yield n, new_names.take(pa.array(at)), times[at]
+                yield n, new_names.take(pa.array(at)), np.bincount(key, minlength=len(distinct))[at]
             if n < longest:
                 grams, names = _mixed(grams[head], hashed[tail]), new_names
-                place = np.full(len(codes), -1, dtype=np.int64)
+                place = np.full(len(codes), -1, dtype=np.int32)
                 place[left] = key
 
 
@@ -182,7 +185,7 @@ def _counted(
 
 
 def bitmaps(phrases: DataFrame, longest: int) -> list[np.ndarray]:
-    """Per length a bitmap of the phrases (lang, n, phrase); at most 2**BITS / 64 rows a length are collected."""
+    """Per length a bitmap of the phrases (lang, n, phrase), made in pages of which the driver gets each once."""
 
     def slots(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -198,13 +201,17 @@ def bitmaps(phrases: DataFrame, longest: int) -> list[np.ndarray]:
                 columns = [pa.array(n, pa.int32()), pa.array(slot >> 6, pa.int32()), pa.array(mask.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["n", "word", "mask"])
 
-    maps = [np.zeros(1 << (BITS - 6), dtype=np.uint64) for _ in range(longest)]
-    if longest > 1:
-        marked = phrases.select("lang", "n", "phrase").mapInArrow(slots, "n int, word int, mask long")
-        merged = marked.groupBy("n", "word").agg(F.bit_or("mask").alias("mask"))
-        frame = merged.toPandas()
-        for n, rows in frame.groupby("n"):
-            maps[n][rows["word"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
+    def page(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        body = np.zeros(PAGE, dtype=np.uint64)
+        body[rows["word"].to_numpy() % PAGE] = rows["mask"].to_numpy().view(np.uint64)
+        return pd.DataFrame({"n": [key[0]], "page": [key[1]], "body": [body.tobytes()]})
+
+    maps = [np.zeros((1 << (BITS - 6)) if n else 0, dtype=np.uint64) for n in range(longest)]
+    marked = phrases.select("lang", "n", "phrase").mapInArrow(slots, "n int, word int, mask long")
+    merged = marked.groupBy("n", "word").agg(F.bit_or("mask").alias("mask"))
+    pages = merged.groupBy("n", F.floor(F.col("word") / PAGE).cast("int").alias("page")).applyInPandas(page, "n int, page int, body binary")
+    for r in pages.toLocalIterator():
+        maps[r.n][r.page * PAGE : (r.page + 1) * PAGE] = np.frombuffer(r.body, dtype=np.uint64)
     return maps
 
 

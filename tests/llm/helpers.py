@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, shard string, fp string, _h string"
 
@@ -38,3 +39,26 @@ def awkward(seed=1):
         (None, None, None),
     ]
     return rows + [(i, prose(seed + i, 40 + i), "abc"[i % 3]) for i in range(20, 60)]
+
+
+def plain_set(text):
+    """Five-word shingles of a text (fewer words: all of them together)."""
+    low = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_force(rows, similarity=0.8):
+    """Smallest ids of the classes of rows (id, text, ...) linked by shingle similarity."""
+    sets = [plain_set(r[1]) for r in rows]
+    names = list(range(len(rows)))
+    for i in names:
+        for j in range(i):
+            if names[i] != names[j] and jaccard(sets[i], sets[j]) >= similarity:
+                old, new = sorted((names[i], names[j]), reverse=True)
+                names = [new if x == old else x for x in names]
+    return {min(rows[i][0] for i in range(len(rows)) if names[i] == n) for n in set(names)}
