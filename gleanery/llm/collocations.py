@@ -40,8 +40,8 @@ SAMPLE_COUNT = 3
 BITS = 25
 PAGE = 1 << 13
 #: Words whose phrases are counted together in a task, and distinct ones among them, at most.
-STRETCH_WORDS = 3_000_000
-STRETCH_DISTINCT = 500_000
+STRETCH_WORDS = 1_500_000
+STRETCH_DISTINCT = 250_000
 SLICE_BYTES = 1 << 18
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -50,7 +50,8 @@ BREAK = b"."
 TABLE = bytes(
     BREAK[0] if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else 32 if b == 9 else b for b in range(256)
 )
-COUNTS = "lang string, n int, phrase binary, f long"
+#: One key a phrase: its number of words (1 byte), the length of the language's name (2), both texts.
+COUNTS = "key binary, f long"
 
 
 def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -156,21 +157,21 @@ def _set_in(hashes: np.ndarray, bitmaps: list[np.ndarray] | None, n: int) -> np.
 
 
 def _counted(
-    texts: DataFrame, longest: int, now: list[np.ndarray] | None, before: list[list[np.ndarray]], words: bool
+    texts: DataFrame, longest: int, now: list[np.ndarray] | None, before: list[list[np.ndarray]], words: bool, least: int
 ) -> DataFrame:
-    """(lang, n, phrase, f): exact counts of the phrases that one pass counts."""
+    """(lang, n, phrase, f): the phrases that one pass counts ``least`` times or more, and totals."""
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Stretch] = {}
 
         def give() -> Iterator[pa.RecordBatch]:
             for lang, stretch in held.items():
+                name = lang.encode()
                 for n, phrases, times in stretch.counts(longest, now, before, words):
+                    start = pa.scalar(bytes([n]) + len(name).to_bytes(2, "big") + name, pa.binary())
                     for lo in range(0, len(phrases), 50_000):
-                        part = phrases.slice(lo, 50_000)
-                        columns = [pa.array([lang] * len(part), pa.string()), pa.array(np.full(len(part), n), pa.int32())]
-                        columns += [part, pa.array(times[lo : lo + 50_000], pa.int64())]
-                        yield pa.RecordBatch.from_arrays(columns, ["lang", "n", "phrase", "f"])
+                        keys = pa.compute.binary_join_element_wise(start, phrases.slice(lo, 50_000), b"")
+                        yield pa.RecordBatch.from_arrays([keys, pa.array(times[lo : lo + 50_000], pa.int64())], ["key", "f"])
 
         for frame in frames:
             for lang, text in zip(frame.column("lang").to_pylist(), frame.column("text"), strict=True):
@@ -180,8 +181,17 @@ def _counted(
                     held = {}
         yield from give()
 
-    counts = texts.select("lang", "text").mapInArrow(count, COUNTS)
-    return counts.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
+    counts = texts.select("lang", "text").mapInArrow(count, COUNTS).groupBy("key").agg(F.sum("f").alias("f"))
+    total = F.substring("key", 1, 1) == F.lit(b"\0")
+    counts = counts.filter((F.col("f") >= least) | total)
+    size = F.conv(F.hex(F.substring("key", 2, 2)), 16, 10).cast("int")
+    named = counts.withColumn("_size", size)
+    return named.select(
+        F.substring("key", F.lit(4), F.col("_size")).cast("string").alias("lang"),
+        F.conv(F.hex(F.substring("key", 1, 1)), 16, 10).cast("int").alias("n"),
+        F.expr("substring(key, 4 + _size)").alias("phrase"),
+        "f",
+    )
 
 
 def bitmaps(phrases: DataFrame, longest: int) -> list[np.ndarray]:
@@ -227,12 +237,11 @@ def frequent_phrases(
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     texts = docs.select(lang, text, F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample_one_in)).alias("_part"))
-    proposed = _counted(texts.filter("_part = 0"), longest - 1, None, [], True)
-    proposed = staged(proposed.filter((F.col("n") > 0) & (F.col("f") >= sample_count)), "phrases-proposed")
+    proposed = _counted(texts.filter("_part = 0"), longest - 1, None, [], True, sample_count)
+    proposed = staged(proposed.filter("n > 0"), "phrases-proposed")
     now, before, passes, parts = bitmaps(proposed, longest), [], 0, []
     while True:
-        found = _counted(texts, longest, now, before, not passes)
-        parts.append(staged(found.filter((F.col("n") == 0) | (F.col("f") >= least)), f"phrases-{passes}"))
+        parts.append(staged(_counted(texts, longest, now, before, not passes, least), f"phrases-{passes}"))
         passes += 1
         before.append(now)
         frequent = reduce(DataFrame.unionByName, parts)
