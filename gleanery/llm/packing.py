@@ -29,8 +29,8 @@ BATCH_BYTES = 1 << 21
 #: Words a worker keeps the ids of; words met later are looked up anew in each batch.
 CACHE_WORDS = 1_000_000
 #: Lengths (the most frequent) from which the inner members of longer patterns are taken.
-COMMON_LENGTHS = 8
-SWEEPS = 15
+COMMON_LENGTHS = 24
+SWEEPS = 40
 
 _caches: dict[str, tuple] = {}
 
@@ -128,19 +128,20 @@ def fit_counts(patterns: list[tuple[int, ...]], counts: dict[int, int], sweeps:
     values = [0.0] * (max(counts) + 1)
     for length, n in counts.items():
         values[length] = float(n)
-    uses = [{v: p.count(v) for v in p} for p in patterns]
-    norm = [sum(k * k for k in u.values()) for u in uses]
+    norm = [sum(p.count(v) for v in p) for p in patterns]
     x = [0.0] * len(patterns)
     for _ in range(sweeps):
         moved = 0.0
-        for i, u in enumerate(uses):
-            step = sum(values[v] * k for v, k in u.items()) / norm[i]
-            step = max(step, -x[i])
+        for i, p in enumerate(patterns):
+            room = 0.0
+            for v in p:  # a length that stands twice counts twice
+                room += values[v]
+            step = max(room / norm[i], -x[i])
             if step:
                 x[i] += step
                 moved = max(moved, abs(step))
-                for v, k in u.items():
-                    values[v] -= k * step
+                for v in p:
+                    values[v] -= step
         if moved < 0.5:
             break
     return x
