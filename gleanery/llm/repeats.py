@@ -1,19 +1,17 @@
-"""Repeated passages by longest-previous-factor arrays over a sparse suffix order.
+"""Repeated passages by grouping 400-byte windows by their hashes.
 
 A start position counts as repeated when the ``length`` (400) bytes from it also start
-elsewhere; its longest previous factor is that long when an earlier such start exists.
+elsewhere. No suffix array and no longest-previous-factor array is built: removal only asks whether
+400 bytes occur again, and windows with equal bytes have equal hashes.
 
 1. *Anchors.* Every window of 400 bytes picks its leftmost least 32-byte hash. Equal windows pick
    equal anchors at equal places, so windows are compared within the group of an anchor's hash
    only. Consecutive windows share an anchor: one row per run of windows, about one per 180 bytes.
 2. *Groups.* Runs whose hash occurs once repeat nothing. Runs with equal bytes (a *variant*)
    repeat each other whole; one of each variant goes on when its group has several.
-3. *Suffix order.* The windows of all variants of a task's groups are sorted by their first 400
-   bytes (as hashes: only agreement over 400 bytes counts, not which suffix is larger), ties by
-   position. In a stretch of equal entries the previous smaller position of an entry is
-   the one before it, and no later entry is smaller; so the longest previous factor reaches
-   400 for all but the first, and every entry of a stretch of two or more repeats somewhere.
-   A group with very many variants is sorted by Spark instead, window by window.
+3. *Windows.* The windows of all variants of a task's groups are sorted by the hash of their 400
+   bytes, ties by position: equal neighbours are repeats, and with ``keep_first`` the first of a
+   stretch stays. A group with very many variants is sorted by Spark instead, window by window.
 4. *Removal.* Repeated starts become byte intervals per document, merged and cut out of it.
 
 Texts travel compressed. No group of documents, and no list longer than one document's own anchors,
