@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from gleanery.durable import durable
 from gleanery.operators.gather import PART_CHARS, gather_text
-from gleanery.operators.lookup import hot_slices, sliced_join
 from gleanery.operators.ordered import HOT_ROWS
+from gleanery.operators.trees import WALK_ROWS, reading_order
 
 # Block types whose title is a file name, linked databases, mention marks.
 FILE_TYPES = ("image", "file", "video", "audio", "pdf")
@@ -68,54 +68,13 @@ def parse_block_map(responses: DataFrame) -> DataFrame:
     return roots.select(*names).unionByName(children.select(*names))
 
 
-def reading_order(blocks: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Rows (page_id, block_id, path): the depth-first place of every reachable block.
-
-    Depth-first with a visited set reaches a block by its smallest path that repeats no
-    block. One join per round extends the paths that improved in the round before, until
-    none does; a tree needs as many rounds as it has levels. Rounds are written out, since
-    each feeds the next.
-    """
-    key = ["page_id", "block_id"]
-    edges = durable(
-        blocks.filter("parent_id IS NOT NULL").select("page_id", "parent_id", "pos", "block_id")
-    )
-    slices = hot_slices(edges, ["page_id", "parent_id"], hot_rows)
-    roots = blocks.filter("parent_id IS NULL").select(*key).distinct()
-    changed = durable(
-        roots.withColumn("path", F.array().cast("array<int>")).withColumn("ids", F.array("block_id"))
-    )
-    found = changed.select(*key, "path")
-    while True:
-        frontier = changed.select("page_id", F.col("block_id").alias("parent_id"), "path", "ids")
-        steps = sliced_join(edges, frontier, ["page_id", "parent_id"], ["pos"], "inner", slices)
-        longer = (
-            steps.filter(~F.array_contains("ids", F.col("block_id")))
-            .withColumn("path", F.concat("path", F.array(F.col("pos").cast("int"))))
-            .withColumn("ids", F.concat("ids", F.array("block_id")))
-            .groupBy(*key)
-            .agg(F.min(F.struct("path", "ids")).alias("new"))
-            .select(*key, "new.*")
-        )
-        known = found.select(*(F.col(c).alias(f"_{c}") for c in found.columns))
-        no_worse = (
-            (F.col("page_id") == F.col("_page_id"))
-            & (F.col("block_id") == F.col("_block_id"))
-            & (F.col("_path") <= F.col("path"))
-        )
-        changed = durable(longer.join(known, no_worse, "left_anti"))
-        if changed.isEmpty():
-            return found.groupBy(*key).agg(F.min("path").alias("path"))
-        found = found.unionByName(changed.select(*key, "path"))
-
-
-def block_lines(blocks: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Text lines of each page as rows (page_id, path, line_no, line), page title first."""
+def block_lines(blocks: DataFrame, hot_rows: int = HOT_ROWS, walk_rows: int = WALK_ROWS) -> DataFrame:
+    """Text lines of each page as rows (page_id, place, line_no, line), page title first."""
     facts = blocks.groupBy("page_id", "block_id").agg(
         F.max("type").alias("type"), F.max("title").alias("title")
     )
-    placed = reading_order(blocks, hot_rows).join(facts, ["page_id", "block_id"])
-    title, root = F.coalesce("title", F.lit("")), F.size("path") == 0
+    placed = reading_order(blocks, hot_rows, walk_rows).join(facts, ["page_id", "block_id"])
+    title, root = F.coalesce("title", F.lit("")), F.col("place") == 0
     heading = F.when(title != "", F.concat(F.lit("# "), title)).otherwise(F.lit(UNTITLED))
     is_file = F.coalesce(F.col("type").isin(*FILE_TYPES), F.lit(False))
     prose = F.when((title != "") & ~is_file, title)
@@ -125,12 +84,12 @@ def block_lines(blocks: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         F.concat(F.lit("[linked database: "), name, F.lit(" - contents not included]")),
     )
     lines = F.when(root, F.array(heading)).otherwise(F.array_compact(F.array(prose, database)))
-    return placed.select("page_id", "path", F.posexplode(lines).alias("line_no", "line"))
+    return placed.select("page_id", "place", F.posexplode(lines).alias("line_no", "line"))
 
 
 def flatten_block_trees(
-    blocks: DataFrame, part_chars: int = PART_CHARS, hot_rows: int = HOT_ROWS
+    blocks: DataFrame, part_chars: int = PART_CHARS, hot_rows: int = HOT_ROWS, walk_rows: int = WALK_ROWS
 ) -> DataFrame:
     """Text of each page: its blocks depth first, one line each (parts when very long)."""
-    lines = block_lines(blocks, hot_rows)
-    return gather_text(lines, ["page_id"], ["path", "line_no"], "line", "\n", part_chars, hot_rows)
+    lines = durable(block_lines(blocks, hot_rows, walk_rows))
+    return gather_text(lines, ["page_id"], ["place", "line_no"], "line", "\n", part_chars, hot_rows)
