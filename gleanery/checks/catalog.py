@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gleanery.checks import inputs as I
 from gleanery.checks.inputs import AS_OF, POLICY, shown, table, text, words
-from gleanery.durable import shared_dir
+from gleanery.durable import durable, shared_dir
 from gleanery.operators import answers, attempts, blocks, captures, lifecycle, media, publish
 from gleanery.operators import registry, repos, urls
 from gleanery.plans.batch import Models, run_batch
@@ -931,48 +931,96 @@ def parsed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(shown("timestamp").alias("timestamp"), "level", "logger", "message", user, "exc_info")
 
 
+def _drained(spark: SparkSession, parts: list[DataFrame], folder: str, start) -> None:
+    """Write the parts one after the other and run a query, stopped and started again, over each."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{folder}/in")
+        jobs.drain(start(stream).option("checkpointLocation", f"{folder}/ck"), spark)
+
+
+def _in_time(rows: DataFrame, time: str, parts: int) -> list[DataFrame]:
+    """Rows cut into parts of about equal size, each later than the one before."""
+    at = F.col(time).cast("double")
+    cuts = rows.select(at.alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.01)
+    edges = [float("-inf"), *cuts, float("inf")]
+    return [rows.filter((at > lo) & (at <= hi)) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
 @query
 def streamed_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The submissions as a stream of files, registered until it is drained."""
+    """The submissions as a stream in three parts, each registered until it is drained."""
     root = scratch(spark, "stream")
-    I.submissions(spark, sf_dir).select("seq", "url", "submitted_at").repartition(3, "seq").write.json(f"{root}/in")
     storage.write_state(I.state(spark, sf_dir), f"{root}/state")
-    stream = spark.readStream.schema("seq LONG, url STRING, submitted_at TIMESTAMP").json(f"{root}/in")
-    writer = jobs.stream_register(
-        stream.withColumn("source", F.lit("webhook")),
-        f"{root}/state", f"{root}/added", f"{root}/attention", POLICY, AS_OF,
-    )
-    jobs.drain(writer.option("checkpointLocation", f"{root}/ck"), spark)
-    added = storage.read_batches(spark, f"{root}/added")
-    return shown_state(added)
+    given = I.submissions(spark, sf_dir).select("seq", "url", "submitted_at", F.lit("webhook").alias("source"))
+
+    def start(stream: DataFrame):
+        return jobs.stream_register(stream, f"{root}/state", f"{root}/added", f"{root}/attention", POLICY, AS_OF)
+
+    _drained(spark, _in_time(given, "submitted_at", 3), root, start)
+    return shown_state(storage.read_state(spark, f"{root}/added"))
 
 
 @query
 def streamed_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The attempt log as a stream with a timer per item."""
+    """The attempt log as a stream in four parts; the clock then runs on to the end."""
     root = scratch(spark, "retries")
-    log = I.attempts(spark, sf_dir).repartition("content_id")
-    log.sortWithinPartitions("content_id", "attempt_ts").write.parquet(f"{root}/in")
-    schema = spark.read.parquet(f"{root}/in").schema
-    stream = spark.readStream.schema(schema).parquet(f"{root}/in")
-    events = jobs.stream_retries(stream, POLICY).writeStream.format("parquet").outputMode("append")
-    events = events.option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck")
-    jobs.drain(events, spark)
-    out = spark.read.parquet(f"{root}/out")
+    log = I.attempts(spark, sf_dir)
+    tick = log.agg(F.lit(AS_OF).cast("timestamp").alias("attempt_ts"), F.lit("clock").alias("kind"))
+    tick = tick.select(*(F.col(c) if c in tick.columns else F.lit(None).cast(log.schema[c].dataType).alias(c) for c in log.columns))
+    _drained(spark, [*_in_time(log, "attempt_ts", 4), tick], root, lambda stream: jobs.stream_retries(stream, POLICY, f"{root}/retries"))
+    out = storage.read_batches(spark, f"{root}/retries/events")
     return out.select("content_id", "event", "attempt_count", shown("at").alias("at"), "error")
 
 
 @query
 def streamed_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Health after three batches of changes: all rows, an upsert, and some successes."""
     root, state = scratch(spark, "health"), I.state(spark, sf_dir)
     storage.write_state(state, f"{root}/state")
-    state.select("content_id", "status").write.parquet(f"{root}/changes")
-    stream = spark.readStream.schema("content_id STRING, status STRING").parquet(f"{root}/changes")
-    writer = jobs.stream_health(stream, f"{root}/state", f"{root}/added", f"{root}/out")
-    jobs.drain(writer.option("checkpointLocation", f"{root}/ck"), spark)
-    run, last = storage.batch_folders(spark, f"{root}/out")[-1]
-    read = spark.read.parquet(f"{root}/out/run={run}/batch={last}")
-    return read.withColumn("last_success_at", shown("last_success_at"))
+    none = state.limit(0)
+    feeds = [lifecycle.status_changes(none, state)]
+    for batch, change in enumerate((_changes(state), _finished(state))):
+        before = storage.read_state(spark, f"{root}/state")
+        stamped = change.withColumn("updated_at", F.lit(AS_OF).cast("timestamp"))
+        feeds.append(lifecycle.status_changes(before, stamped))
+        feeds[-1] = durable(feeds[-1])
+        storage.write_state_changes(change, f"{root}/state", AS_OF, run="health", batch=batch)
+    _drained(spark, feeds, root, lambda stream: jobs.stream_health(stream, f"{root}/out"))
+    read = storage.read_batches(spark, f"{root}/out")
+    last = read.groupBy("run").agg(F.max_by(F.struct("status", "queue_depth", "failed_count", "last_success_at"), "batch").alias("h"))
+    return last.select("h.*").withColumn("last_success_at", shown("last_success_at"))
+
+
+def _finished(state: DataFrame) -> DataFrame:
+    """Every seventh row done."""
+    return state.filter(I.id_number() % 7 == 0).withColumn("status", F.lit("done"))
+
+
+@query
+def state_changes_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two small upserts into a stored state, folded together, read bucket by bucket."""
+    path, state = scratch(spark, "log"), I.state(spark, sf_dir)
+    storage.write_state(state, path)
+    storage.write_state_changes(_changes(state), path, AS_OF, run="one")
+    storage.write_state_changes(_finished(state), path, AS_OF, run="two")
+    log = storage.state_log(spark, path)
+    log.compact(always=True)
+    halves = [log.read(buckets=[b for b in range(log.buckets) if b % 2 == half]) for half in (0, 1)]
+    return shown_state(halves[0].unionByName(halves[1]))
+
+
+@query
+def notes_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes table after a second batch replaces every third note."""
+    path = scratch(spark, "notes")
+    number = words(F.col("doc_id"))
+    docs = table(spark, sf_dir, "documents").withColumns(
+        {"content_id": text("d", number), "note_path": text("n", number, ".md"), "content": F.coalesce("text", F.lit(""))}
+    )
+    files.write_notes(docs, path)
+    files.write_notes(docs.filter("doc_id % 3 = 0").withColumn("content", text("# again\n", F.col("content"))), path)
+    return files.read_notes_table(spark, path).select("content_id", "note_path", F.md5("content").alias("content_md5"))
 
 
 # --- The whole batch ----------------------------------------------------------------------

@@ -273,12 +273,12 @@ O["attention_events"] = q(
 )
 O["streamed_retries"] = q(
     REPLAY,
-    "last_row AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY i DESC) = 1)",
+    "alive AS (SELECT *, lead(attempt_ts) OVER (PARTITION BY content_id ORDER BY i) AS next_ts FROM replayed)",
     final=f"""SELECT content_id, 'gave_up' AS event, CAST(streak AS INTEGER) AS attempt_count, {iso('attempt_ts')} AS at, error
 FROM replayed WHERE status = 'failed_permanent'
 UNION ALL
-SELECT r.content_id, 'retry', CAST(r.streak AS INTEGER), {iso('r.next_retry_at')}, r.error
-FROM replayed r JOIN last_row l ON l.content_id = r.content_id AND l.i = r.i WHERE r.status = 'failed'""",
+SELECT content_id, 'retry', CAST(streak AS INTEGER), {iso('next_retry_at')}, error
+FROM alive WHERE status = 'failed' AND next_retry_at <= coalesce(next_ts, {AS_OF})""",
 )
 GAPS = " ".join(f"WHEN {lit(p)} THEN {round(s * 1_000_000)}" for p, s in POLICY.call_intervals.items())
 O["call_schedule"] = q(
@@ -303,7 +303,20 @@ O["health"] = q(
   count(*) FILTER (WHERE status IN {in_list(FAILED_STATUSES)}) AS failed_count,
   {iso("max(updated_at) FILTER (WHERE status = 'done')")} AS last_success_at FROM state""",
 )
-O["streamed_health"] = O["health"]
+FINISHED = f"""finished AS ({state_change('state', status="'done'", updated_at=AS_OF)} WHERE n % 7 = 0),
+written AS (
+  SELECT * FROM upserted WHERE content_id NOT IN (SELECT content_id FROM finished) UNION ALL SELECT * FROM finished)"""
+O["state_changes_written"] = q(STATE, UPSERTED, FINISHED, final=f"SELECT {STATE_SHOWN} FROM written")
+O["streamed_health"] = q(
+    STATE,
+    UPSERTED,
+    FINISHED,
+    "told AS (SELECT status, updated_at FROM state UNION ALL SELECT status, updated_at FROM changes "
+    "UNION ALL SELECT status, updated_at FROM finished)",
+    final=f"""SELECT 'ok' AS status, count(*) FILTER (WHERE status NOT IN {in_list(TERMINAL_STATUSES)}) AS queue_depth,
+  count(*) FILTER (WHERE status IN {in_list(FAILED_STATUSES)}) AS failed_count,
+  (SELECT {iso("max(updated_at) FILTER (WHERE status = 'done')")} FROM told) AS last_success_at FROM written""",
+)
 O["run_summary"] = q(
     STATE,
     final="""SELECT count(*) AS processed, count(*) FILTER (WHERE status = 'done') AS done,
@@ -745,4 +758,9 @@ O["full_batch"] = q(
     final=f"SELECT {STATE_SHOWN} FROM final_state",
 )
 
+O["notes_written"] = """
+SELECT 'd' || doc_id AS content_id, 'n' || doc_id || '.md' AS note_path,
+  md5(CASE WHEN doc_id % 3 = 0 THEN '# again' || chr(10) ELSE '' END || coalesce(text, '')) AS content_md5
+FROM documents"""
+
 ORACLES = O

@@ -225,6 +225,15 @@ def state_health(state: DataFrame) -> DataFrame:
     )
 
 
+def status_changes(before: DataFrame, changed: DataFrame) -> DataFrame:
+    """Feed rows (content_id, old_status, new_status, changed_at) of changed state rows; a key that
+    was not there has no old status."""
+    old = before.select("content_id", F.col("status").alias("old_status"))
+    return changed.join(old, "content_id", "left").select(
+        "content_id", "old_status", F.col("status").alias("new_status"), F.col("updated_at").alias("changed_at")
+    )
+
+
 def run_summary(results: DataFrame) -> DataFrame:
     """One row of counters over the rows a run processed."""
     done = F.col("status") == "done"

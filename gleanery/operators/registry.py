@@ -61,8 +61,12 @@ def register_urls(
     probes: DataFrame | None = None,
 ) -> Registration:
     """New state rows for keys the state does not hold yet. Running it again adds nothing."""
-    screened = screen_submissions(submissions, policy, probes)
-    fresh = first_submission(screened).join(state.select("content_id"), "content_id", "left_anti")
+    return register_first(first_submission(screen_submissions(submissions, policy, probes)), state, as_of)
+
+
+def register_first(first: DataFrame, state: DataFrame, as_of: datetime) -> Registration:
+    """``register_urls`` of submissions that are screened already, one per key."""
+    fresh = first.join(state.select("content_id"), "content_id", "left_anti")
     now = F.lit(as_of).cast("timestamp")
     known = {
         "status": F.when(F.col("accepted"), "pending").otherwise("blocked"),

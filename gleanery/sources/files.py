@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.text import iso_utc, strip
 from gleanery.schemas import LOGS, parse
-from gleanery.sources.storage import finished_versions
+from gleanery.sources.keyed_log import KeyedLog
 
+NOTES = "content_id STRING, note_path STRING, content STRING"
 FRONT_MATTER = r"\A---\n([\s\S]*?)\n---\n"
 
 
@@ -116,28 +117,28 @@ def list_media(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def notes_log(spark: SparkSession, path: str) -> KeyedLog:
+    """The notes table under a path, by ``note_path``."""
+    return KeyedLog(spark, path, NOTES, "note_path")
+
+
 def write_notes(notes: DataFrame, path: str) -> int:
     """Add notes (content_id, note_path, content) to the notes table and return its new version.
 
-    A note replaces the one at its path; all others stay. Of several texts for a path in
-    one call the largest (content_id, content) counts.
+    A note replaces the one at its path; all others stay and are not written again. Of several
+    texts for a path in one call the largest (content_id, content) counts.
     """
-    spark = notes.sparkSession
     last = notes.groupBy("note_path").agg(F.max(F.struct("content_id", "content")).alias("_n"))
-    table = last.select("_n.content_id", "note_path", "_n.content")
-    versions = finished_versions(spark, path)
-    if versions:
-        old = spark.read.parquet(f"{path}/v={versions[-1]}")
-        table = table.unionByName(old.join(last.select("note_path"), "note_path", "left_anti"))
-    number = versions[-1] + 1 if versions else 1
-    table.write.mode("overwrite").parquet(f"{path}/v={number}")
-    return number
+    log = notes_log(notes.sparkSession, path)
+    version = log.add(last.select("_n.content_id", "note_path", "_n.content"), "notes", log.manifest()[0] + 1)
+    log.compact()
+    return version
 
 
 def read_notes_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The latest notes table, or None when there is none."""
-    versions = finished_versions(spark, path)
-    return spark.read.parquet(f"{path}/v={versions[-1]}") if versions else None
+    log = notes_log(spark, path)
+    return log.read() if log.manifest()[0] else None
 
 
 def parse_notes(notes: DataFrame, content: str = "content") -> DataFrame:

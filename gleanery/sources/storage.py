@@ -1,56 +1,51 @@
-"""State snapshots and registration batches as plain Parquet folders."""
+"""The state table and batches of streams as plain Parquet folders."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.operators.registry import last_per_key
 from gleanery.schemas import STATE, conform_state, parse
+from gleanery.sources.keyed_log import BUCKETS, KeyedLog
 
 
-def _folder(spark: SparkSession, path: str):
-    """Hadoop's view of a path, so local disks and object stores look the same."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
+def state_log(spark: SparkSession, path: str, buckets: int = BUCKETS) -> KeyedLog:
+    """The state table under a path: a base and the changes since, by ``content_id``."""
+    return KeyedLog(spark, path, STATE, "content_id", buckets)
 
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, place = _folder(spark, path)
-    return fs.exists(place)
 
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """The state as of the latest version; a missing table is an empty one."""
+    return conform_state(state_log(spark, path).read())
 
-def finished_versions(spark: SparkSession, path: str, name: str = "v") -> list[int]:
-    """Numbers of the folders ``<name>=N`` whose write was committed, ascending."""
-    fs, place = _folder(spark, path)
-    if not fs.exists(place):
-        return []
-    found = []
-    for status in fs.listStatus(place):
-        key, _, number = status.getPath().getName().partition("=")
-        done = f"{path}/{key}={number}/_SUCCESS"
-        if key == name and number.isdigit() and exists(spark, done):
-            found.append(int(number))
-    return sorted(found)
 
+def write_state(state: DataFrame, path: str) -> int:
+    """Make these rows the whole table and return its new version.
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """The latest committed snapshot; a missing table is an empty one."""
-    versions = finished_versions(spark, path)
-    if not versions:
-        return spark.createDataFrame([], parse(STATE))
-    return conform_state(spark.read.parquet(f"{path}/v={versions[-1]}"))
+    Readers see it once the manifest names it, so a lost writer leaves the old one.
+    """
+    return state_log(state.sparkSession, path).replace(conform_state(state))
 
 
-def write_state(state: DataFrame, path: str) -> int:
-    """Write the whole table as the next snapshot and return its number.
+def write_state_changes(
+    changes: DataFrame, path: str, as_of: datetime, order: Column | None = None, run: str = "upsert", batch: int | None = None
+) -> int:
+    """Add changed rows to the state and return its new version; no other row is written again.
 
-    Readers see it once its commit marker is there, so a lost writer leaves the old one.
+    Of several changes to a key the last by ``order`` counts (by default ``updated_at``); what
+    changed is stamped. Reading gives what ``upsert_state`` of the table and the changes gives.
+    A batch number that is given again replaces its rows.
     """
-    versions = finished_versions(state.sparkSession, path)
-    number = versions[-1] + 1 if versions else 1
-    conform_state(state).write.mode("overwrite").parquet(f"{path}/v={number}")
-    return number
+    log = state_log(changes.sparkSession, path)
+    last = last_per_key(changes, F.col("updated_at") if order is None else order)
+    stamped = conform_state(last.withColumn("updated_at", F.lit(as_of).cast("timestamp")))
+    version = log.add(stamped, run, log.manifest()[0] + 1 if batch is None else batch)
+    log.compact()
+    return version
 
 
 def read_state_json(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
@@ -59,11 +54,14 @@ def read_state_json(spark: SparkSession, path: str, one_document: bool = True) -
     A file that is one document over many lines is one task's work, so that form is the
     import of a small table; documents of one line each are read in splits.
     """
-    if not exists(spark, path):
-        return spark.createDataFrame([], parse(STATE))
     record = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in parse(STATE))
     reader = spark.read.schema(f"items MAP<STRING, STRUCT<{record}>>")
-    document = reader.option("multiLine", one_document).json(path)
+    try:
+        document = reader.option("multiLine", one_document).json(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], parse(STATE))
+        raise
     items = document.select(F.explode("items").alias("key", "record"))
     return conform_state(items.select("record.*"))
 
@@ -82,19 +80,16 @@ def write_batch(rows: DataFrame, path: str, number: int, run: str = "none") -> s
     return folder
 
 
-def batch_folders(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """(run, number) of all committed batches."""
-    fs, place = _folder(spark, path)
-    if not fs.exists(place):
-        return []
-    names = sorted(s.getPath().getName() for s in fs.listStatus(place))
-    runs = [n.partition("=")[2] for n in names if n.startswith("run=")]
-    return [(r, n) for r in runs for n in finished_versions(spark, f"{path}/run={r}", "batch")]
+def read_batches(spark: SparkSession, path: str) -> DataFrame | None:
+    """All committed batches, with ``run`` and ``batch``, or None when there are none.
 
-
-def read_batches(spark: SparkSession, path: str, skip: tuple[str, int] | None = None) -> DataFrame | None:
-    """All committed batches (but for one), or None when there are none."""
-    found = [b for b in batch_folders(spark, path) if b != skip]
-    if not found:
-        return None
-    return spark.read.parquet(*(f"{path}/run={r}/batch={n}" for r, n in found))
+    One scan of the folder tree: Spark lists it in parallel, and readers that name a run or batch
+    open only its files.
+    """
+    try:
+        found = spark.read.option("basePath", path).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return found

@@ -2,31 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import UTC, datetime
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gleanery.operators.lifecycle import state_health
-from gleanery.operators.registry import register_urls
-from gleanery.policy import Policy
-from gleanery.sources.storage import read_batches, read_state, write_batch
+from gleanery.durable import durable
+from gleanery.operators.attempts import replay_attempts
+from gleanery.operators.ordered import HOT_ROWS, order_rows, running
+from gleanery.operators.registry import first_submission, register_first, screen_submissions
+from gleanery.policy import FAILED_STATUSES, TERMINAL_STATUSES, Policy
+from gleanery.sources.keyed_log import KeyedLog
+from gleanery.sources.storage import read_state, state_log, write_batch
 
-RETRY_EVENTS = "content_id STRING, event STRING, attempt_count INT, at TIMESTAMP, error STRING"
-RETRY_STATE = "attempt_count INT, error STRING, due_us LONG, gave_up BOOLEAN"
+ATTEMPT = ("content_id", "attempt_id", "attempt_ts", "kind", "ok", "error")
+ITEMS = "content_id STRING, attempt_count INT, error STRING, due_at TIMESTAMP, gave_up BOOLEAN"
+CLOCK = "name STRING, at TIMESTAMP"
+BEFORE_ALL = "0001-01-01 00:00:00"
 
 
-def current_state(spark: SparkSession, state_path: str, added_path: str, skip: tuple[str, int] | None = None) -> DataFrame:
-    """The latest snapshot plus what streaming registration added to it (but for one batch)."""
+def current_state(spark: SparkSession, state_path: str, added_path: str) -> DataFrame:
+    """The state plus what streaming registration added to it."""
     base = read_state(spark, state_path)
-    added = read_batches(spark, added_path, skip)
-    if added is None:
-        return base
-    fresh = added.join(base.select("content_id"), "content_id", "left_anti")
+    fresh = read_state(spark, added_path).join(base.select("content_id"), "content_id", "left_anti")
     return base.unionByName(fresh.select(*base.columns))
 
 
@@ -45,89 +44,137 @@ def stream_register(
 ) -> DataStreamWriter:
     """Register a stream of submissions; every micro-batch adds only its new keys.
 
-    A batch is looked up against the snapshot and all other batches, and replaces its own output
-    when it is delivered again, so a key is registered once for ever. Output is named by the
-    query's id and the batch's number: a query with a new checkpoint never overwrites an old one.
+    State and additions are tables cut into buckets by key: a batch opens only the buckets its own
+    keys fall into and writes its new rows, and additions are folded together now and then, so
+    a batch costs the same however many came before. A batch that is delivered again is looked up
+    without its own output and replaces it, so a key is registered once for ever. Output is
+    named by the query's id and the batch's number: a new checkpoint never overwrites an old one's.
     """
 
     def register(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         run = query_id(spark)
-        known = current_state(spark, state_path, added_path, skip=(run, number))
-        result = register_urls(batch, known, policy, as_of or datetime.now(UTC))
+        added = state_log(spark, added_path)
+        first = first_submission(screen_submissions(batch, policy)).persist()
+        try:
+            buckets = added.touched(first)
+            known = state_log(spark, state_path).read(buckets).select("content_id")
+            known = known.unionByName(added.read(buckets, skip=(run, number)).select("content_id"))
+            added.add(register_first(first, known, as_of or datetime.now(UTC)).rows, run, number)
+        finally:
+            first.unpersist()
         # The refused rows are read back, so both tables tell the same story.
-        written = spark.read.parquet(write_batch(result.rows, added_path, number, run))
-        refused = written.filter("status = 'blocked'").select(
+        refused = added.changes(run, number).filter("status = 'blocked'")
+        refused = refused.select(
             F.col("added_at").alias("ts"),
             "url",
             F.coalesce("error", F.lit("validation failed")).alias("reason"),
         )
         write_batch(refused, attention_path, number, run)
+        added.compact()
 
     return stream.writeStream.foreachBatch(register)
 
 
-def stream_retries(attempts: DataFrame, policy: Policy) -> DataFrame:
-    """Retry events of an attempt stream: an item again when its backoff ends, or given up.
+def clock(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:
+    """A stream of ``clock`` rows to union with attempts, so that backoffs end while nothing arrives."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+    return ticks.select(
+        F.lit(None).cast("string").alias("content_id"),
+        F.lit(None).cast("long").alias("attempt_id"),
+        F.col("timestamp").alias("attempt_ts"),
+        F.lit("clock").alias("kind"),
+        F.lit(None).cast("boolean").alias("ok"),
+        F.lit(None).cast("string").alias("error"),
+    )
 
-    ``attempts`` is (content_id, attempt_id, attempt_ts, kind, ok, error). State per item is
-    four values however many attempts it has; its rows of one micro-batch are ordered in memory
-    (bound a micro-batch by the source's options). A backoff
-    that has already ended is reported at once, any other by a processing-time timeout.
 
-    Timeouts ask for a batch even when no data came, for ever; use ``drain`` to run such a
-    query over what is there and stop.
+def _resumed(items: DataFrame) -> DataFrame:
+    """Items as the failures in a row they stand for, before all attempts of a batch."""
+    tries = F.when(F.col("attempt_count") > 0, F.sequence(F.lit(1), F.col("attempt_count")))
+    each = items.select("content_id", "error", "due_at", "attempt_count", F.explode(tries).alias("i"))
+    return each.select(
+        "content_id",
+        (F.col("i") - F.col("attempt_count") - 1).cast("long").alias("attempt_id"),
+        F.lit(BEFORE_ALL).cast("timestamp").alias("attempt_ts"),
+        F.lit("attempt").alias("kind"),
+        F.lit(False).alias("ok"),
+        "error",
+        F.when(F.col("i") == F.col("attempt_count"), F.col("due_at")).alias("_due"),
+        F.lit(True).alias("_old"),
+    )
+
+
+def follow_retries(
+    attempts: DataFrame, items: DataFrame, until: str | None, policy: Policy, hot_rows: int = HOT_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """What attempts do to waiting items: (events, changed items).
+
+    ``items`` are the earlier ones the attempts touch and all whose backoff ends by ``until``, the
+    latest time seen (as text). A retry is an event when its backoff ends before the item's next attempt; one
+    that still waits after the last attempt is an event once ``until`` has reached its end.
     """
-    max_attempts, schedule = policy.max_attempts, policy.backoff_minutes
-
-    def event(item: str, name: str, count: int, at_us: int, error: str | None) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "content_id": [item],
-                "event": [name],
-                "attempt_count": pd.array([count], dtype="int32"),
-                "at": [pd.Timestamp(at_us, unit="us")],
-                "error": [error],
-            }
+    fresh = attempts.select(*ATTEMPT, F.lit(None).cast("timestamp").alias("_due"), F.lit(False).alias("_old"))
+    rows = fresh.unionByName(_resumed(items.join(attempts.select("content_id").distinct(), "content_id", "left_semi")))
+    replayed = replay_attempts(rows, policy, hot_rows)
+    due = F.when(F.col("_old"), F.col("_due")).otherwise(F.col("next_retry_at"))
+    failing = F.col("status").isin("failed", "failed_permanent")
+    told = replayed.select(
+        "content_id", "attempt_id", "attempt_ts", "_old", "status", due.alias("due_at"),
+        F.when(failing, F.col("attempt_count")).otherwise(0).alias("attempt_count"), F.when(failing, F.col("error")).alias("error"),
+    )
+    facts = F.struct("due_at", "attempt_count", "error")
+    ordered = order_rows(durable(told), ["content_id"], ["attempt_ts", "attempt_id"], hot_rows)
+    walked = running(ordered, previous={"_before": facts}).rows()
+    ended = walked.filter(F.col("_before.due_at") <= F.col("attempt_ts")).select("content_id", "_before.*")
+    gave_up = walked.filter(~F.col("_old") & (F.col("status") == "failed_permanent")).select(
+        "content_id", F.lit("gave_up").alias("event"), "attempt_count", F.col("attempt_ts").alias("at"), "error"
+    )
+    place = F.struct("attempt_ts", "attempt_id")
+    last = ordered.rows().groupBy("content_id").agg(F.max_by(F.struct("attempt_count", "error", "due_at", "status"), place).alias("_l"))
+    touched = last.select("content_id", "_l.attempt_count", "_l.error", "_l.due_at", (F.col("_l.status") == "failed_permanent").alias("gave_up"))
+    others = items.join(attempts.select("content_id").distinct(), "content_id", "left_anti")
+    after = touched.unionByName(others.select(*touched.columns))
+    over = F.coalesce(F.col("due_at") <= F.lit(until).cast("timestamp"), F.lit(False))
+    ended = ended.unionByName(after.filter(over).select(*ended.columns))
+    retries = ended.select("content_id", F.lit("retry").alias("event"), "attempt_count", F.col("due_at").alias("at"), "error")
+    return gave_up.unionByName(retries), after.withColumn("due_at", F.when(~over, F.col("due_at")))
+
+
+def stream_retries(attempts: DataFrame, policy: Policy, folder: str, hot_rows: int = HOT_ROWS) -> DataStreamWriter:
+    """Retry events of an attempt stream: an item again when its backoff ends, or given up.
+
+    ``attempts`` is (content_id, attempt_id, attempt_ts, kind, ok, error); ``kind`` is 'attempt',
+    'reset' or 'clock'. Time is what the rows say: the latest ``attempt_ts`` seen, so a log
+    replayed in order gives the same events in one micro-batch or many; union ``clock`` rows where
+    backoffs must end while nothing else arrives. What an item carries on is four values
+    in a table under ``folder``, of which a batch opens the buckets of its own items, and the waiting
+    items whose time has come. An item's rows are put in order by Spark, in chunks where one item owns
+    very many, never in one frame. Events are under ``folder``/events, by run and batch.
+    """
+
+    def follow(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        run = query_id(spark)
+        log, times = (KeyedLog(spark, f"{folder}/{n}", s, k) for n, s, k in (("items", ITEMS, "content_id"), ("clock", CLOCK, "name")))
+        rows = batch.filter("kind <> 'clock'").select(*ATTEMPT)
+        seen = times.read(skip=(run, number)).select("at").unionByName(batch.select(F.col("attempt_ts").alias("at")))
+        latest = seen.agg(F.max("at").alias("at"), F.max("at").cast("string").alias("text")).first()
+        earlier = log.read(skip=(run, number))
+        touched = F.coalesce(log.bucket_of().isin(log.touched(rows)), F.lit(False))
+        ends = F.col("due_at") <= F.lit(latest.text).cast("timestamp")
+        items = durable(
+            earlier.filter(touched).join(rows.select("content_id").distinct(), "content_id", "left_semi")
+            .unionByName(earlier.filter(ends).join(rows.select("content_id").distinct(), "content_id", "left_anti"))
         )
+        events, changed = follow_retries(rows, items, latest.text, policy, hot_rows)
+        write_batch(events, f"{folder}/events", number, run)
+        log.add(changed, run, number)
+        times.add(spark.createDataFrame([("latest",)], "name STRING").withColumn("at", F.lit(latest.text).cast("timestamp")), run, number)
+        log.compact()
+        times.compact()
 
-    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        item = key[0]
-        count, error, due_us, gave_up = state.get if state.exists else (0, None, None, False)
-        if not state.hasTimedOut:
-            # The parts follow Arrow's batch size, so they are put in order together.
-            rows = pd.concat(list(parts)).sort_values(["attempt_ts", "attempt_id"], kind="stable")
-            for row in rows.itertuples(index=False):
-                at_us = row.attempt_ts.value // 1000
-                if row.kind == "reset":
-                    count, error, due_us, gave_up = 0, None, None, False
-                elif gave_up:
-                    continue
-                elif row.ok:
-                    count, error, due_us = 0, None, None
-                else:
-                    count, error, due_us = count + 1, row.error, None
-                    if count >= max_attempts:
-                        gave_up = True
-                        yield event(item, "gave_up", count, at_us, error)
-                    else:
-                        minutes = schedule[min(count, len(schedule)) - 1]
-                        due_us = at_us + minutes * 60_000_000
-        now_us = state.getCurrentProcessingTimeMs() * 1000
-        if due_us is not None and due_us <= now_us:
-            yield event(item, "retry", count, due_us, error)
-            due_us = None
-        state.update((count, error, due_us, gave_up))
-        if due_us is not None:
-            state.setTimeoutDuration(-(-(due_us - now_us) // 1000))
-
-    return attempts.groupBy("content_id").applyInPandasWithState(
-        follow,
-        outputStructType=RETRY_EVENTS,
-        stateStructType=RETRY_STATE,
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.ProcessingTimeTimeout,
-    )
+    return attempts.writeStream.foreachBatch(follow)
 
 
 def drain(writer: DataStreamWriter, spark: SparkSession) -> None:
@@ -141,11 +188,37 @@ def drain(writer: DataStreamWriter, spark: SparkSession) -> None:
         spark.conf.set(setting, before)
 
 
-def stream_health(changes: DataFrame, state_path: str, added_path: str, out_path: str) -> DataStreamWriter:
-    """Recompute health from the tables whenever a micro-batch of changes arrives."""
+def health_changes(changes: DataFrame) -> DataFrame:
+    """Health of all changes so far: every row takes its old status away and adds its new one.
+
+    ``changes`` is (content_id, old_status, new_status, changed_at), see ``status_changes``. The last
+    success is the latest one the feed has told of; sending the item back doesn't undo it.
+    """
+    sides = F.array(
+        F.struct(F.col("old_status").alias("s"), F.lit(-1).cast("long").alias("w")),
+        F.struct(F.col("new_status").alias("s"), F.lit(1).cast("long").alias("w")),
+    )
+    success = F.when(F.col("new_status") == "done", F.col("changed_at")).alias("success")
+    each = changes.select(success, F.explode(sides).alias("e")).filter("e.s IS NOT NULL")
+
+    def weight(counts) -> Column:
+        return F.coalesce(F.sum(F.when(counts, F.col("e.w"))), F.lit(0))
+
+    return each.agg(
+        F.lit("ok").alias("status"),
+        weight(~F.col("e.s").isin(*TERMINAL_STATUSES)).alias("queue_depth"),
+        weight(F.col("e.s").isin(*FAILED_STATUSES)).alias("failed_count"),
+        F.max("success").alias("last_success_at"),
+    )
+
+
+def stream_health(changes: DataFrame, out_path: str) -> DataStreamWriter:
+    """Health after every micro-batch of a change feed, without reading the state table.
+
+    The engine's own streaming aggregate keeps the counts; a batch costs what it brings.
+    """
 
-    def measure(batch: DataFrame, number: int) -> None:
-        health = state_health(current_state(batch.sparkSession, state_path, added_path))
-        write_batch(health, out_path, number, query_id(batch.sparkSession))
+    def publish(batch: DataFrame, number: int) -> None:
+        write_batch(batch, out_path, number, query_id(batch.sparkSession))
 
-    return changes.writeStream.foreachBatch(measure)
+    return health_changes(changes).writeStream.outputMode("complete").foreachBatch(publish)

@@ -1,8 +1,9 @@
 """The whole batch and the streams."""
 
 import json
+import random
 import sys
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
@@ -149,7 +150,7 @@ def test_stream_registers_each_key_once_even_when_redelivered(spark, now, tmp_pa
     def go(checkpoint):
         writer = jobs.stream_register(stream, f"{root}/state", f"{root}/added", f"{root}/attention", Policy(), now)
         jobs.drain(writer.option("checkpointLocation", f"{root}/{checkpoint}"), spark)
-        return storage.read_batches(spark, f"{root}/added"), storage.read_batches(spark, f"{root}/attention")
+        return storage.read_state(spark, f"{root}/added"), storage.read_batches(spark, f"{root}/attention")
 
     added, attention = go("ck")
     assert added.count() == 2 and attention.count() == 1
@@ -160,27 +161,6 @@ def test_stream_registers_each_key_once_even_when_redelivered(spark, now, tmp_pa
     assert added.select("content_id").distinct().count() == 3
 
 
-@pytest.mark.parametrize("batch_rows", [1, 2, 10_000])
-def test_retry_stream_orders_an_item_whatever_the_batch_size(spark, tmp_path, batch_rows):
-    root = str(tmp_path)
-    schema = "content_id STRING, attempt_id LONG, attempt_ts TIMESTAMP, kind STRING, ok BOOLEAN, error STRING"
-    begin = pd.Timestamp("2026-01-01")
-    rows = [("a", i, (begin + pd.Timedelta(seconds=i)).to_pydatetime(), "attempt", i == 7, "e") for i in range(8)]
-    rows += [("b", i, (begin + pd.Timedelta(seconds=i)).to_pydatetime(), "attempt", False, f"e{i}") for i in range(3)]
-    spark.createDataFrame(rows[::-1], schema).coalesce(1).write.parquet(f"{root}/in")
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, batch_rows)
-    try:
-        stream = spark.readStream.schema(schema).parquet(f"{root}/in")
-        out = jobs.stream_retries(stream, Policy(max_attempts=9)).writeStream.format("parquet").option("path", f"{root}/out")
-        jobs.drain(out.option("checkpointLocation", f"{root}/ck"), spark)
-    finally:
-        spark.conf.set(setting, before)
-    got = [(r.content_id, r.event, r.attempt_count, r.error) for r in spark.read.parquet(f"{root}/out").collect()]
-    assert got == [("b", "retry", 3, "e2")]
-
-
 def test_a_new_checkpoint_overwrites_nothing(spark, now, tmp_path):
     root = str(tmp_path)
     for n in (1, 2):
@@ -189,17 +169,120 @@ def test_a_new_checkpoint_overwrites_nothing(spark, now, tmp_path):
         stream = spark.readStream.schema("seq LONG, url STRING, submitted_at TIMESTAMP").json(f"{root}/in{n}").withColumn("source", F.lit("webhook"))
         writer = jobs.stream_register(stream, f"{root}/state", f"{root}/added", f"{root}/attention", Policy(), now)
         jobs.drain(writer.option("checkpointLocation", f"{root}/ck{n}"), spark)
-    assert {r.url for r in storage.read_batches(spark, f"{root}/added").collect()} == {"https://a.org/1", "https://a.org/2"}
-
-
-def test_retry_stream_waits_and_gives_up(spark, tmp_path):
+    assert {r.url for r in storage.read_state(spark, f"{root}/added").collect()} == {"https://a.org/1", "https://a.org/2"}
+
+
+ATTEMPTS = "content_id STRING, attempt_id LONG, attempt_ts TIMESTAMP, kind STRING, ok BOOLEAN, error STRING"
+BEGIN = datetime(2026, 1, 1)
+
+
+def attempt_log(seed):
+    """Items of few and one of very many attempts, successes, resets; a third of the rows is one item's."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(240):
+        item = "hot" if i % 3 == 0 else f"i{rng.randrange(12)}"
+        kind = "reset" if rng.random() < 0.06 else "attempt"
+        ok = rng.random() < 0.15
+        rows.append((item, i, BEGIN + timedelta(seconds=40 * i + rng.randrange(40)), kind, ok, None if ok else f"e{i % 5}"))
+    return rows + [(None, None, BEGIN + timedelta(hours=40), "clock", None, None)]
+
+
+def plain_events(rows, policy):
+    """One item after the other, row after row."""
+    events, until = [], max(r[2] for r in rows)
+    for item in {r[0] for r in rows if r[3] != "clock"}:
+        count, due, error, dead = 0, None, None, False
+        for _, _, at, kind, ok, said in sorted((r for r in rows if r[0] == item), key=lambda r: (r[2], r[1])):
+            if dead and kind != "reset":
+                continue
+            if due is not None and due <= at:
+                events.append((item, "retry", count, due, error))
+            due = None
+            if kind == "reset" or ok:
+                count, dead = 0, False
+                continue
+            count, error = count + 1, said
+            if count >= policy.max_attempts:
+                dead = True
+                events.append((item, "gave_up", count, at, error))
+            else:
+                due = at + timedelta(minutes=policy.backoff_minutes[min(count, len(policy.backoff_minutes)) - 1])
+        if due is not None and due <= until:
+            events.append((item, "retry", count, due, error))
+    return sorted(events)
+
+
+def retry_events(spark, root, rows, cuts, policy, hot_rows):
+    """The log given in so many parts, each run until it is drained."""
+    for lo, hi in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+        spark.createDataFrame(rows[lo:hi][::-1], ATTEMPTS).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(ATTEMPTS).parquet(f"{root}/in")
+        writer = jobs.stream_retries(stream, policy, f"{root}/retries", hot_rows)
+        jobs.drain(writer.option("checkpointLocation", f"{root}/ck"), spark)
+    found = storage.read_batches(spark, f"{root}/retries/events")
+    return sorted((r.content_id, r.event, r.attempt_count, r.at, r.error) for r in found.collect())
+
+
+@pytest.mark.parametrize(("cuts", "hot_rows"), [((), 10_000), ((), 20), ((50, 51, 200), 10_000), ((120, 240), 30)])
+def test_retries_are_the_same_in_one_batch_or_many(spark, tmp_path, cuts, hot_rows):
+    policy = Policy(max_attempts=4, backoff_minutes=(1, 3, 10))
+    rows = attempt_log(5)
+    want = plain_events(rows, policy)
+    assert {e[1] for e in want} == {"retry", "gave_up"} and len(want) > 40
+    assert retry_events(spark, str(tmp_path), rows, cuts, policy, hot_rows) == want
+
+
+def test_a_retry_batch_delivered_again_changes_nothing(spark, tmp_path):
+    policy = Policy(max_attempts=4, backoff_minutes=(1, 3, 10))
+    rows, root = attempt_log(6), str(tmp_path)
+    first = retry_events(spark, root, rows, (100,), policy, 10_000)
+    # The second batch's commit is lost, so it comes again.
+    (tmp_path / "ck" / "commits" / "1").unlink()
+    (tmp_path / "ck" / "commits" / ".1.crc").unlink(missing_ok=True)
+    stream = spark.readStream.schema(ATTEMPTS).parquet(f"{root}/in")
+    jobs.drain(jobs.stream_retries(stream, policy, f"{root}/retries").option("checkpointLocation", f"{root}/ck"), spark)
+    found = storage.read_batches(spark, f"{root}/retries/events").collect()
+    assert sorted((r.content_id, r.event, r.attempt_count, r.at, r.error) for r in found) == first == plain_events(rows, policy)
+
+
+def test_registration_costs_the_same_over_many_batches(spark, now, tmp_path):
+    """Fourteen batches: few folders stay live, a batch opens its own buckets only, nothing is lost."""
+    root = str(tmp_path)
+    for n in range(14):
+        rows = [(2 * n + i, f"https://a.org/{max(0, 2 * n + i - 1)}") for i in range(2)]
+        spark.createDataFrame(rows, "seq LONG, url STRING").coalesce(1).write.mode("append").json(f"{root}/in")
+    writer = jobs.stream_register(stream_of_files(spark, f"{root}/in"), f"{root}/state", f"{root}/added", f"{root}/attention", Policy(), now)
+    jobs.drain(writer.option("checkpointLocation", f"{root}/ck"), spark)
+    log = storage.state_log(spark, f"{root}/added")
+    entries = log.manifest()[1]
+    assert len([e for e in entries if e.kind != "gone"]) <= log.most_changes + 3
+    got = [r.url for r in log.read().collect()]
+    assert sorted(got) == sorted({f"https://a.org/{i}" for i in range(27)})
+    (bucket,) = log.touched(log.read().limit(1))
+    opened = log.read(buckets=[bucket]).select(F.input_file_name().alias("f")).distinct().collect()
+    assert opened and all(f"bucket={bucket}/" in r.f for r in opened if r.f)
+    assert "PartitionFilters: [bucket#" in log.read(buckets=[bucket])._jdf.queryExecution().toString()
+
+
+def stream_of_files(spark, folder):
+    reader = spark.readStream.schema("seq LONG, url STRING, submitted_at TIMESTAMP").option("maxFilesPerTrigger", 1)
+    return reader.json(folder).withColumn("source", F.lit("webhook"))
+
+
+def test_health_follows_a_change_feed(spark, now, tmp_path):
     root = str(tmp_path)
-    schema = "content_id STRING, attempt_id LONG, attempt_ts TIMESTAMP, kind STRING, ok BOOLEAN, error STRING"
-    rows = [("a", 1, False), ("a", 2, False), ("b", 3, False), ("b", 4, True), ("c", 5, False)]
-    df = spark.createDataFrame([(c, i, (pd.Timestamp("2026-01-01") + pd.Timedelta(seconds=i)).to_pydatetime(), "attempt", ok, "e") for c, i, ok in rows], schema)
-    df.coalesce(1).write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(df.schema).parquet(f"{root}/in")
-    out = jobs.stream_retries(stream, Policy(max_attempts=2)).writeStream.format("parquet").option("path", f"{root}/out")
-    jobs.drain(out.option("checkpointLocation", f"{root}/ck"), spark)
-    got = {(r.content_id, r.event, r.attempt_count) for r in spark.read.parquet(f"{root}/out").collect()}
-    assert got == {("a", "gave_up", 2), ("c", "retry", 1)}
+    feed = "content_id STRING, old_status STRING, new_status STRING, changed_at TIMESTAMP"
+    day = timedelta(days=1)
+    batches = [
+        [("a", None, "pending", now), ("b", None, "failed", now), ("c", None, "done", now), ("d", None, "blocked", now)],
+        [("a", "pending", "done", now + day), ("b", "failed", "failed_permanent", now + day)],
+        [("b", "failed_permanent", "pending", now + 2 * day), ("a", "done", "pending", now + 2 * day), ("e", None, None, now)],
+    ]
+    want = [(2, 1, now), (0, 1, now + day), (2, 0, now + day)]
+    for rows, (depth, failed, success) in zip(batches, want, strict=True):
+        spark.createDataFrame(rows, feed).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(feed).parquet(f"{root}/in")
+        jobs.drain(jobs.stream_health(stream, f"{root}/out").option("checkpointLocation", f"{root}/ck"), spark)
+        last = max(storage.read_batches(spark, f"{root}/out").collect(), key=lambda r: r.batch)
+        assert (last.status, last.queue_depth, last.failed_count, last.last_success_at) == ("ok", depth, failed, success.replace(tzinfo=None))

@@ -1,5 +1,6 @@
 """Registration, life cycle and the tables on disk."""
 
+import random
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from gleanery.operators import lifecycle, registry
 from gleanery.policy import Policy
 from gleanery.schemas import STATE, SUBMISSIONS, conform_state, parse
 from gleanery.sources import files, storage
+from gleanery.sources.keyed_log import KeyedLog
 
 POLICY = Policy(allowed_domains=("youtube.com",), blocked_domains=("bad.com",))
 
@@ -147,13 +149,64 @@ def test_snapshots(spark, now, tmp_path):
     one = states(spark, ("a", "pending", {}))
     assert storage.write_state(one, path) == 1
     assert storage.write_state(registry.upsert_state(one, states(spark, ("b", "done", {})), now), path) == 2
-    (tmp_path / "state" / "v=3").mkdir()  # a writer that was lost
+    (tmp_path / "state" / "data" / "folder=base-3").mkdir()  # a writer that was lost
     assert {r.content_id for r in storage.read_state(spark, path).collect()} == {"a", "b"}
     storage.export_state_json(one, str(tmp_path / "doc"))
     back = storage.read_state_json(spark, str(tmp_path / "doc")).collect()
     assert [(r.content_id, r.status) for r in back] == [("a", "pending")]
 
 
+def test_changes_write_only_what_changes(spark, now, tmp_path):
+    """An upsert of 1 % adds about 1 % of the rows; reading gives what an upsert of the table gives."""
+    path, table = str(tmp_path / "state"), states(spark, *((f"k{i}", "pending", {}) for i in range(2000)))
+    storage.write_state(table, path)
+    changes = states(spark, *((f"k{i * 100}", "done", {}) for i in range(20)), ("new", "failed", {}), ("new", "blocked", {"updated_at": now}))
+    log = storage.state_log(spark, path)
+    for again in range(2):  # the same batch delivered twice
+        storage.write_state_changes(changes, path, now, run="r", batch=0)
+        assert [(e.kind, e.rows) for e in log.manifest()[1] if e.kind != "gone"] == [("base", 2000), ("change", 21)]
+    want = registry.upsert_state(table, changes, now)
+    assert sorted(map(tuple, storage.read_state(spark, path).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_a_keyed_log_is_the_last_row_per_key(spark, tmp_path):
+    """Random writes, replays, folds and lost manifests against a dictionary."""
+    rng = random.Random(2)
+    log = KeyedLog(spark, str(tmp_path / "log"), "k STRING, v INT", "k", buckets=3, most_changes=2, share=0.5)
+    plain, runs, before = {}, {"a": 0, "b": 0}, {}
+    assert log.read().collect() == []
+    for step in range(9):
+        run = rng.choice("ab")
+        rows = [(f"k{i}", step * 100 + i) for i in rng.sample(range(9), rng.randrange(0, 5))]
+        if step == 5:
+            log.replace(spark.createDataFrame([(k, v) for k, v in plain.items()], log.schema))
+        log.add(spark.createDataFrame(rows, log.schema), run, runs[run])
+        before = dict(plain)
+        plain.update(rows)
+        assert {r.k: r.v for r in log.read(skip=(run, runs[run])).collect()} == before
+        if step % 4 == 0:
+            log.add(spark.createDataFrame(rows, log.schema), run, runs[run])
+        runs[run] += 1
+        log.compact(always=step == 7)
+        got = [tuple(r) for r in log.read().collect()]
+        assert dict(got) == plain and len(got) == len(plain)
+        parts = [tuple(r) for b in range(3) for r in log.read(buckets=[b]).collect()]
+        assert sorted(parts) == sorted(got)
+    version = log.manifest()[0]
+    slot = str(tmp_path / "log" / "manifest" / f"slot={version % 2}")
+    spark.createDataFrame([], "version LONG").write.mode("overwrite").parquet(slot)  # a writer lost while it publishes
+    assert log.manifest()[0] == version - 1 and log.read().count() > 0
+
+
+def test_notes_are_added_by_path(spark, tmp_path):
+    path = str(tmp_path / "notes")
+    schema = "content_id STRING, note_path STRING, content STRING"
+    assert files.read_notes_table(spark, path) is None
+    files.write_notes(spark.createDataFrame([("a", "a.md", "1"), ("b", "b.md", "2"), ("b", "b.md", "3")], schema), path)
+    files.write_notes(spark.createDataFrame([("c", "a.md", "4")], schema), path)
+    assert {tuple(r) for r in files.read_notes_table(spark, path).collect()} == {("c", "a.md", "4"), ("b", "b.md", "3")}
+
+
 def test_old_rows_get_defaults(spark, tmp_path):
     (tmp_path / "state.json").write_text(
         '{"items": {\n "k": {"content_id": "k", "url": "u", "normalized_url": "n", "source": "webhook", "status": "failed",\n'
