@@ -10,6 +10,7 @@ from gleanery.functions import urls as U
 from gleanery.functions.text import quoted, strip
 from gleanery.operators.lookup import lookup
 from gleanery.operators.once import computed_once
+from gleanery.operators.ordered import order_rows, running
 from gleanery.policy import PROBED_HOST, Policy
 
 # Fixed value: the wording of the refusal.
@@ -17,8 +18,10 @@ BLOCKED_NOTE = (
     "is blocked by default (no browser automation / scraping ingestion for this platform). "
     "Use manual paste, webhook, or share-sheet export instead."
 )
-# Longer lists are joined as a table instead of being written into the plan.
+# Longer lists are merged as a table instead of being written into the plan.
 INLINE_DOMAINS = 200
+# Hosts and domains beyond which their order is cut into chunks of about this size.
+CHUNK_HOSTS = 100_000
 
 
 def _with_url(df: DataFrame, url: str) -> DataFrame:
@@ -49,8 +52,8 @@ def match_domains(df: DataFrame, domains: tuple[str, ...] | DataFrame, host: str
     """Add ``listed``: the host is a listed domain or lies under one.
 
     A written list is matched inside the row. A table of domains (column ``domain``) is
-    joined on host suffixes, once per distinct host rather than once per row. A row without
-    a host is not listed, either way.
+    merged with the distinct hosts in the order of their labels, see ``listed_hosts``. A row
+    without a host is not listed, either way.
     """
     if not isinstance(domains, DataFrame):
         if len(domains) <= INLINE_DOMAINS:
@@ -58,16 +61,33 @@ def match_domains(df: DataFrame, domains: tuple[str, ...] | DataFrame, host: str
             return df.withColumn("listed", listed)
         spark = df.sparkSession
         domains = spark.createDataFrame([(d,) for d in domains], "domain STRING")
-    hosts = df.select(F.col(host).alias("_host")).filter("_host IS NOT NULL").distinct()
-    suffixes = hosts.select("_host", F.explode(U.host_suffixes(F.col("_host"))).alias("domain"))
-    found = suffixes.join(domains.select("domain").distinct(), "domain", "left_semi")
-    listed = found.select("_host").distinct().withColumn("listed", F.lit(True))
+    listed = listed_hosts(df.select(F.col(host).alias("_host")), domains.select("domain")).withColumn("listed", F.lit(True))
     # A host can own a large share of all rows.
     keyed = df.withColumn("_host", F.col(host))
     marked = lookup(keyed, listed, ["_host"], _hashable(df))
     return marked.withColumn("listed", F.coalesce("listed", F.lit(False))).select(*df.columns, "listed")
 
 
+def listed_hosts(hosts: DataFrame, domains: DataFrame, chunk_rows: int = CHUNK_HOSTS) -> DataFrame:
+    """The distinct hosts (_host) that are, or lie under, one of the domains.
+
+    Names are sorted by their labels from the last to the first, so what lies under a domain
+    follows it without a gap. A host is listed when the furthest end of all domains before it lies
+    beyond it. Nothing is joined on a suffix: half of all hosts may share one.
+    """
+
+    def backwards(name: str) -> Column:
+        return F.concat(F.array_join(F.reverse(F.split(name, r"\.")), "."), F.lit("."))
+
+    name = hosts.filter("_host IS NOT NULL").distinct().select("_host", backwards("_host").alias("_key"), F.lit(1).alias("_kind"))
+    starts = domains.filter("domain IS NOT NULL").distinct().select(backwards("domain").alias("_key")).withColumn("_kind", F.lit(0))
+    # No name goes on with the last of all characters, so this is where the domain's names end.
+    end = F.when(F.col("_kind") == 0, F.concat("_key", F.lit("\U0010ffff")))
+    rows = name.unionByName(starts, allowMissingColumns=True).withColumn("_all", F.lit(0))
+    walked = running(order_rows(rows, ["_all"], ["_key", "_kind"], chunk_rows), maxs={"_end": end}).rows()
+    return walked.filter((F.col("_kind") == 1) & (F.col("_end") > F.col("_key"))).select("_host")
+
+
 def _hashable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]
 

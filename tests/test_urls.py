@@ -2,6 +2,7 @@
 
 import hashlib
 import ipaddress
+import random
 from urllib.parse import parse_qsl, urlencode, urlparse
 
 import pytest
@@ -140,6 +141,20 @@ def test_domain_table_and_list_agree(spark):
     assert {r.host for r in inline if r.listed} == {"a.b.com", "b.com", "x.y.c.org"}
 
 
+@pytest.mark.parametrize("chunk_rows", [25, 100_000])
+def test_sorted_merge_lists_what_suffixes_list(spark, chunk_rows):
+    """Half the hosts under one suffix, domains inside others, odd names; in chunks and at once."""
+    rng = random.Random(4)
+    labels = ["a", "b", "ab", "a-b", "x1", "é", "", "com"]
+    names = {".".join(rng.choices(labels, k=rng.randrange(1, 5))) for _ in range(150)}
+    names |= {f"h{i}.deep.big.com" for i in range(150)}
+    domains = set(rng.sample(sorted(names), 20)) | {"big.com", "deep.big.com", "m", "b-a.com"}
+    hosts = spark.createDataFrame([(n,) for n in sorted(names)] * 2 + [(None,)], "_host STRING")
+    table = spark.createDataFrame([(d,) for d in sorted(domains)] * 2 + [(None,)], "domain STRING")
+    got = sorted(r._host for r in urls.listed_hosts(hosts, table, chunk_rows).collect())
+    assert got == sorted(n for n in names if any(n == d or n.endswith("." + d) for d in domains))
+
+
 def test_source_refs(spark):
     df = spark.createDataFrame(
         [
