@@ -96,11 +96,22 @@ def select_carousel_item(media: DataFrame, refs: DataFrame, hot_rows: int = HOT_
     return indexed.filter(index.isNull() | (F.col("item_no") == index + 1)).drop("img_index")
 
 
-def join_segments(segments: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
-    """Segment texts of a clip joined by one space; ``empty`` marks a clip without words."""
+def join_segments(segments: DataFrame, part_chars: int = PART_CHARS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Segment texts of a clip joined by one space; ``empty`` marks a clip without words.
+
+    Only the two ends of a clip are stripped: segments without words before its first and after
+    its last word go, those between stay. A clip longer than ``part_chars`` comes as
+    several rows (``part_no``) that give the whole text when joined by one space.
+    """
+    clip = ["content_id", "clip_no"]
     clean = segments.withColumn("text", strip(F.col("text")))
-    parts = gather_text(clean, ["content_id", "clip_no"], ["seg_no"], "text", " ", part_chars)
-    return parts.withColumn("text", strip(F.col("text"))).withColumn("empty", F.col("text") == "")
+    worded = F.when(F.col("text") != "", F.col("seg_no"))
+    ends = clean.groupBy(*clip).agg(F.min(worded).alias("_first"), F.max(worded).alias("_last"))
+    inside = lookup(clean, ends, clip, ["seg_no"], "inner", hot_rows).filter(F.col("seg_no").between(F.col("_first"), F.col("_last")))
+    parts = gather_text(inside.select(*clip, "seg_no", "text"), clip, ["seg_no"], "text", " ", part_chars, hot_rows)
+    silent = ends.filter("_first IS NULL").select(*clip, F.lit(0).cast("long").alias("part_no"), F.lit("").alias("text"))
+    said = parts.withColumn("empty", F.lit(False)).select(*clip, "part_no", "text", "empty")
+    return said.unionByName(silent.withColumn("empty", F.lit(True)))
 
 
 def combine_clips(

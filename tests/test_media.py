@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from gleanery.operators import media
 
 FILES = "content_id STRING, path STRING, has_audio BOOLEAN, frame_path STRING"
@@ -74,3 +78,21 @@ def test_long_item_comes_whole_in_parts(spark):
     joined = "\n\n".join(r.text for r in parts if r.content_id == "hot")
     assert joined == whole["hot"].text
     assert {r.duration_seconds for r in parts if r.content_id == "hot"} == {200.0}
+
+
+@pytest.mark.parametrize(("part_chars", "hot_rows"), [(8, 10_000), (64, 25), (10**9, 10_000)])
+def test_segments_join_to_the_same_text_whatever_the_part_size(spark, part_chars, hot_rows):
+    """Blank segments at a clip's ends go, those at a part's border stay."""
+    rng = random.Random(part_chars)
+    clips = {("c", n): [rng.choice(["", " ", "one", " two ", "\tthree four", "\u2003"]) for _ in range(rng.randrange(1, 40))] for n in range(20)}
+    clips[("c", 20)], clips[("d", 0)] = ["", "  "], ["", "a", "", "", "b c", ""]
+    rows = [(c, n, i, text) for (c, n), texts in clips.items() for i, text in enumerate(texts)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "content_id STRING, clip_no LONG, seg_no LONG, text STRING")
+    got = {}
+    for r in media.join_segments(df, part_chars, hot_rows).orderBy("content_id", "clip_no", "part_no").collect():
+        got.setdefault((r.content_id, r.clip_no), []).append((r.text, r.empty))
+    want = {k: " ".join(t.strip() for t in texts).strip() for k, texts in clips.items()}
+    assert {k: " ".join(t for t, _ in parts) for k, parts in got.items()} == want
+    assert all(empty == (want[k] == "") for k, parts in got.items() for _, empty in parts)
+    assert (max(map(len, got.values())) > 1) == (part_chars < 1000)
