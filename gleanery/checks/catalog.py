@@ -16,6 +16,7 @@ from gleanery.durable import durable, shared_dir
 from gleanery.operators import answers, attempts, blocks, captures, lifecycle, media, publish
 from gleanery.operators import registry, repos, urls
 from gleanery.plans.batch import Models, run_batch
+from gleanery.plans.media import capture_media
 from gleanery.policy import Policy
 from gleanery.schemas import ENRICHMENT
 from gleanery.sources import files, storage
@@ -726,12 +727,12 @@ def enrichments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REFUSAL_OPENINGS = (
-    "I cannot directly view images, ",
-    "I’m unable to see the actual photos. ",
-    "Certainly, please provide the images so I can help. ",
-    "The image shows a cat that cannot see. ",
-    "They share photos from the trip. ",
-    "I don't have the ability to process any of the screenshots. ",
+    "It seems I can't open those pictures; ",
+    "As a text model I’m not able to interpret your screenshot. ",
+    "Could you please upload the photos again? ",
+    "A sign reads: no dogs may access the beach. ",
+    "The caption asks friends to send more pictures. ",
+    "Here I cannot look at either of these images. ",
     "",
 )
 
@@ -1026,6 +1027,38 @@ def notes_written(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- The whole batch ----------------------------------------------------------------------
 
 
+@query
+def media_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Downloaded files to texts: what sounds is heard, pictures and frames are described."""
+
+    def describe():
+        """A stand-in that names the pictures it got, and refuses posts of four, eight, ..."""
+
+        def model(rows: pd.DataFrame) -> pd.DataFrame:
+            said = [
+                "Sorry, I cannot view the images." if (p.count("\n") + 1) % 4 == 0 else f" {q}: " + p.replace("\n", ", ")
+                for p, q in zip(rows["paths"], rows["prompt"], strict=True)
+            ]
+            return pd.DataFrame({"text": said})
+
+        return model
+
+    def transcribe():
+        """A stand-in that repeats the path, and fails on one kind of file."""
+
+        def model(rows: pd.DataFrame) -> pd.DataFrame:
+            for path in rows["path"]:
+                if path.endswith(".webm"):
+                    raise RuntimeError("cannot decode " + path)
+            return pd.DataFrame({"text": "heard " + rows["path"], "language": "en", "duration_seconds": 1.0})
+
+        return model
+
+    template = f"Look.{answers.CACHE_BOUNDARY}{{{{image_count}}}} pictures"
+    found = capture_media(I.media_files(spark, sf_dir), describe, transcribe, template)
+    return found.select("content_id", "part_no", "text", "error")
+
+
 @query
 def full_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Register all submissions, capture the pages, enrich, publish, and return the state."""

@@ -364,6 +364,22 @@ O["carousel_items"] = q(
     "numbered AS (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY path) AS item_no FROM media)",
     final="SELECT content_id, item_no, path FROM numbered WHERE conv_id % 3 = 0 OR item_no = conv_id % 3 + 1",
 )
+O["media_captures"] = q(
+    MEDIA,
+    "pictures AS (SELECT content_id, count(*) AS n, string_agg(path, ', ' ORDER BY pos) AS paths FROM grouped "
+    "WHERE media_type = 'image' GROUP BY content_id)",
+    """films AS (
+  SELECT content_id, count(*) AS n, min(path) AS one, arg_min(path, pos) FILTER (WHERE path LIKE '%.webm') AS bad,
+    string_agg('[Clip ' || i || '/' || total || '] heard ' || path, chr(10) || chr(10) ORDER BY pos) AS said
+  FROM (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY content_id) AS total
+    FROM grouped WHERE media_type = 'video') GROUP BY content_id)""",
+    final="""SELECT content_id, CAST(0 AS BIGINT) AS part_no, CAST(NULL AS VARCHAR) AS text, error FROM grouped WHERE error IS NOT NULL
+UNION ALL SELECT content_id, 0, CASE WHEN n % 4 <> 0 THEN n || ' pictures: ' || paths END,
+  CASE WHEN n % 4 = 0 THEN 'the vision model refused to describe the image(s) rather than returning a description: '
+    || '''Sorry, I cannot view the images.''' END FROM pictures
+UNION ALL SELECT content_id, 0, CASE WHEN bad IS NULL THEN CASE WHEN n = 1 THEN 'heard ' || one ELSE said END END,
+  'cannot decode ' || bad FROM films""",
+)
 O["combined_clips"] = q(
     CLIPS,
     """numbered AS (

@@ -69,6 +69,7 @@ def gate_captures(captures: DataFrame, text: str = "text") -> DataFrame:
     return computed_once(captures, {"gate": gate})
 
 
+# The wording of the failures below.
 def _gate_error(url: Column, rendered: bool) -> Column:
     page = F.concat(F.lit("page "), quoted(url))
     empty = (

@@ -15,6 +15,8 @@ AUDIO_SUFFIXES = (".mp3", ".m4a", ".wav")
 VIDEO_SUFFIXES = (".mp4", ".mov", ".webm", ".mkv")
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp")
 NO_MEDIA = "no video or image files"
+# Sorts after the ranks of all files that can be used.
+USELESS = 9
 
 
 def _suffix() -> Column:
@@ -38,42 +40,28 @@ def group_media(media: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     the frames of silent videos. An item with neither gives one row with an error.
     """
     suffix = _suffix()
-    ranked = media.withColumn(
-        "_rank",
+    rank = (
         F.when(suffix.isin(*AUDIO_SUFFIXES), 0)
         .when(suffix.isin(*VIDEO_SUFFIXES) & _has_audio(), 1)
         .when(suffix.isin(*IMAGE_SUFFIXES), 2)
-        .when(suffix.isin(*VIDEO_SUFFIXES) & F.col("frame_path").isNotNull(), 3),
+        .when(suffix.isin(*VIDEO_SUFFIXES) & F.col("frame_path").isNotNull(), 3)
+        .otherwise(USELESS)
     )
-    # The decision needs one small value per item; the files follow it by a lookup.
-    best = ranked.groupBy("content_id").agg(F.min("_rank").alias("_best"))
-    useful = ranked.filter("_rank IS NOT NULL")
-    decided = lookup(useful, best, ["content_id"], ["path"], "inner", hot_rows)
-    sounding = F.col("_best") <= 1
-    chosen = decided.filter(sounding == (F.col("_rank") <= 1)).select(
+    ranked = media.select("content_id", "path", "frame_path", rank.alias("_rank"))
+    # In order of rank an item's first file tells what the item is, and the files to use come first.
+    rows = order_rows(ranked, ["content_id"], ["_rank", "path"], hot_rows)
+    placed = running(rows, sums={"pos": F.lit(1)}, maxs={"_least": -F.col("_rank")}).rows()
+    best, rank = -F.col("_least"), F.col("_rank")
+    sounding, none = best <= 1, best == USELESS
+    used = F.when(none, F.col("pos") == 1).when(sounding, rank <= 1).otherwise(rank < USELESS)
+    file = F.when(rank == 3, F.col("frame_path")).otherwise(F.col("path"))
+    return placed.filter(used).select(
         "content_id",
-        F.when(sounding, "video").otherwise("image").alias("media_type"),
-        "_rank",
-        F.col("path").alias("_source"),
-        F.when(F.col("_rank") == 3, F.col("frame_path")).otherwise(F.col("path")).alias("path"),
+        F.when(~none, F.when(sounding, "video").otherwise("image")).alias("media_type"),
+        F.when(none, 0).otherwise(F.col("pos")).cast("long").alias("pos"),
+        F.when(~none, file).alias("path"),
+        F.when(none, NO_MEDIA).alias("error"),
     )
-    rows = order_rows(chosen, ["content_id"], ["_rank", "_source"], hot_rows)
-    placed = running(rows, sums={"pos": F.lit(1)}).rows()
-    files = placed.select(
-        "content_id",
-        "media_type",
-        F.col("pos").cast("long"),
-        "path",
-        F.lit(None).cast("string").alias("error"),
-    )
-    empty = best.filter("_best IS NULL").select(
-        "content_id",
-        F.lit(None).cast("string").alias("media_type"),
-        F.lit(0).cast("long").alias("pos"),
-        F.lit(None).cast("string").alias("path"),
-        F.lit(NO_MEDIA).alias("error"),
-    )
-    return files.unionByName(empty)
 
 
 def append_frames(images: DataFrame, silent: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ BLOCKED_NOTE = (
 INLINE_DOMAINS = 200
 # Hosts and domains beyond which their order is cut into chunks of about this size.
 CHUNK_HOSTS = 100_000
+# Over so many keys rows without a key of their own are spread.
+SETTLED_KEYS = 4096
 
 
 def _with_url(df: DataFrame, url: str) -> DataFrame:
@@ -187,18 +189,17 @@ def classify_by_probe(
 
     ``probes`` has one row (url, probe_ok) per probed URL.
     """
-    open_kind = F.col(kind) == "probe"
+    open_kind = F.coalesce(F.col(kind) == "probe", F.lit(False))
     if probes is None:
         return df.withColumn(kind, F.when(open_kind, F.lit("text")).otherwise(F.col(kind)))
     found = probes.filter("probe_ok").select(strip(F.col("url")).alias("_probed")).distinct()
-    # Only rows of the ambiguous host are joined. The scan drops all others by a plain
-    # substring test, so the second branch costs little.
-    maybe = df.filter(F.lower(url).contains(PROBED_HOST)).filter(open_kind)
-    keyed = maybe.withColumn("_probed", strip(F.col(url)))
-    joined = lookup(keyed, found.withColumn("_video", F.lit(True)), ["_probed"], _hashable(df))
-    settled = F.when(F.col("_video"), "media").otherwise("text")
-    ambiguous = joined.withColumn(kind, settled).select(*df.columns)
-    return df.filter(~F.coalesce(open_kind, F.lit(False))).unionByName(ambiguous)
+    # Rows that are settled already get keys that meet nothing, dealt by a hash, so that one join
+    # serves all rows and no key holds them.
+    settled = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*_hashable(df)), F.lit(SETTLED_KEYS)).cast("string"))
+    keyed = df.withColumn("_probed", F.when(open_kind, strip(F.col(url))).otherwise(settled))
+    joined = keyed.join(found.withColumn("_video", F.lit(True)), "_probed", "left")
+    told = F.when(F.col("_video"), "media").otherwise("text")
+    return joined.withColumn(kind, F.when(open_kind, told).otherwise(F.col(kind))).select(*df.columns)
 
 
 def extract_source_refs(df: DataFrame, url: str = "url") -> DataFrame:

@@ -29,6 +29,7 @@ from gleanery.operators.captures import (
 )
 from gleanery.operators.lifecycle import (
     actionable_items,
+    advance_stage,
     apply_failures,
     apply_success,
     orphan_artifacts,
@@ -43,15 +44,21 @@ from gleanery.operators.publish import assign_note_names, render_notes, skill_ca
 from gleanery.operators.registry import register_urls, upsert_state
 from gleanery.operators.repos import assemble_repo_captures
 from gleanery.operators.urls import extract_source_refs
+from gleanery.plans.media import capture_media
 from gleanery.policy import Policy
 
 
 @dataclass(frozen=True)
 class Models:
-    """Factories of the user's batch functions: prompt rows in, a ``text`` column out."""
+    """Factories of the user's batch functions: prompt rows in, a ``text`` column out.
+
+    ``describe`` gets picture posts and ``transcribe`` files with sound, see ``capture_media``.
+    """
 
     enrich: Callable[[], BatchFunction]
     skill: Callable[[], BatchFunction] | None = None
+    describe: Callable[[], BatchFunction] | None = None
+    transcribe: Callable[[], BatchFunction] | None = None
 
 
 @dataclass(frozen=True)
@@ -62,7 +69,8 @@ class Fetched:
     (payload) the two answers about a repository, ``blocks`` (payload) block maps, ``files``
     (body) downloads, ``clips`` (clip_no, text, language, backend, duration_seconds) the
     transcripts of an item's clips, ``outcomes`` (source_type, status, headers) how each
-    fetch went. Items of a source without a table are read as plain pages.
+    fetch went, ``media`` (path, has_audio, frame_path) files of items without a transcript. Items
+    of a source without a table are read as plain pages.
     """
 
     rendered: DataFrame | None = None
@@ -72,6 +80,7 @@ class Fetched:
     files: DataFrame | None = None
     clips: DataFrame | None = None
     outcomes: DataFrame | None = None
+    media: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -98,6 +107,7 @@ def run_batch(
     earlier_captures: DataFrame | None = None,
     earlier_enrichments: DataFrame | None = None,
     fetched: Fetched | None = None,
+    on_stage: Callable[[DataFrame], object] | None = None,
 ) -> BatchResult:
     """One pass over everything due.
 
@@ -107,7 +117,8 @@ def run_batch(
     (content_id, text) and enrichments (content_id and the record's fields) of an earlier
     run are used again where the state says that step was completed. Every stage is a
     table under ``folder``: a stage is computed once, and a lost executor costs only the
-    stage it was in.
+    stage it was in. ``on_stage`` is given the state rows that a finished stage changes, e.g. to
+    write them with ``write_state_changes``; a run that is lost later is then resumed behind it.
     """
     spark = state.sparkSession
 
@@ -124,28 +135,42 @@ def run_batch(
     nothing = transcripts.select("content_id", "text").limit(0)
     old_captures = nothing if earlier_captures is None else earlier_captures
     old_records = nothing if earlier_enrichments is None else earlier_enrichments
-    due = stage(
-        plan_resume(actionable_items(known, as_of), old_captures, old_records, transcripts), "due"
-    )
+    given = fetched or Fetched()
+    there = transcripts.select("content_id")
+    if given.media is not None:
+        there = there.unionByName(given.media.select("content_id"))
+    due = stage(plan_resume(actionable_items(known, as_of), old_captures, old_records, there), "due")
+
+    def mark(done: DataFrame, step: str) -> None:
+        if on_stage is not None:
+            rows = due.select(*state.columns).join(done.select("content_id").distinct(), "content_id", "left_semi")
+            finished = rows.select("content_id", F.lit(step).alias("step"), F.lit(True).alias("finished"))
+            on_stage(advance_stage(rows, finished, as_of))
+
     todo = due.select("content_id", "url", "content_kind", "resume_at")
     no_error = F.lit(None).cast("string").alias("error")
 
-    given = fetched or Fetched()
     texts = stage(_captured_texts(todo.filter("resume_at = 'capture'"), responses, given, policy), "page_text")
     spoken = transcripts.select("content_id", "text")
     if given.clips is not None:
         spoken = spoken.unionByName(_whole(combine_clips(given.clips), "content_id", "\n\n"))
-    clips = todo.filter("resume_at IN ('download', 'transcribe')").join(_single(spoken, "text"), "content_id")
+    media = todo.filter("resume_at IN ('download', 'transcribe')")
+    clips = media.join(_single(spoken, "text"), "content_id").select(*todo.columns, "text", no_error)
+    if given.media is not None:
+        waiting = media.join(spoken.select("content_id"), "content_id", "left_anti")
+        seen = stage(_media_texts(waiting, given.media, models, prompts), "media_text")
+        clips = clips.unionByName(waiting.join(seen, "content_id").select(*clips.columns))
     reused = todo.filter("resume_at IN ('enrich', 'write_note')").join(
         old_captures.select("content_id", "text"), "content_id"
     )
     captures = stage(
         todo.join(texts, "content_id")
         .select(*todo.columns, "text", "error")
-        .unionByName(clips.select(*todo.columns, "text", no_error))
+        .unionByName(clips)
         .unionByName(reused.select(*todo.columns, "text", no_error)),
         "captures",
     )
+    mark(captures.filter("error IS NULL AND resume_at NOT IN ('enrich', 'write_note')"), "transcribe")
 
     ready = render_prompts(
         captures.filter("error IS NULL AND resume_at <> 'write_note'"),
@@ -166,6 +191,7 @@ def run_batch(
     enriched = stage(parsed, "enrichments")
 
     good = enriched.filter("error IS NULL").drop("error")
+    mark(good, "enrich")
     items = (
         good.join(captures.select("content_id", F.col("url").alias("source_url"), "text"), "content_id")
         .join(due.select("content_id", "added_at"), "content_id")
@@ -176,6 +202,7 @@ def run_batch(
     )
     named = items.join(names.select("content_id", F.col("note_name").alias("note_path")), "content_id")
     notes = stage(render_notes(named), "notes")
+    mark(notes, "write_note")
     skills = stage(_skills(notes, models, prompts, policy), "skills")
 
     problems = (
@@ -224,6 +251,16 @@ def _whole(parts: DataFrame, key: str, sep: str) -> DataFrame:
     return parts.groupBy(key).agg(text.alias("text"))
 
 
+def _media_texts(todo: DataFrame, files: DataFrame, models: Models, prompts: dict[str, str]) -> DataFrame:
+    """(content_id, text, error) of media items by their files; the URL may name one of a carousel."""
+    refs = extract_source_refs(todo.select("content_id", "url")).select("content_id", "img_index")
+    own = files.join(todo.select("content_id"), "content_id", "left_semi")
+    found = capture_media(own, models.describe, models.transcribe, prompts.get("image", ""), refs)
+    errors = found.filter("error IS NOT NULL").select("content_id", F.lit(None).cast("string").alias("text"), "error")
+    texts = _whole(found.filter("error IS NULL"), "content_id", "\n\n")
+    return texts.withColumn("error", F.lit(None).cast("string")).unionByName(errors)
+
+
 def _captured_texts(todo: DataFrame, responses: DataFrame, given: Fetched, policy: Policy) -> DataFrame:
     """(content_id, text, error) of the text items something was fetched for, each by its source."""
     items = extract_source_refs(dispatch_sources(todo.select("content_id", "url", "content_kind")))

@@ -104,13 +104,13 @@ def test_waits(spark):
 
 def test_refusals(spark):
     refused = [
-        "I cannot directly view images.",
-        "Since I can’t view the actual images, sorry",
-        "I am unable to see any of the photos",
-        "please provide the images so I can analyze them",
-        "Please share each of the screenshots",
+        "My apologies, can not open your picture",
+        "Sadly I can’t really read the blurry screenshots here",
+        "The model was not able to identify either photo",
+        "To go on, please attach both pictures",
+        "PLEASE now upload a photo",
     ]
-    fine = ["A person who cannot swim looks at the image.", "They offer to share the photos from the trip."]
+    fine = ["Someone who cannot dance takes a picture of the stage.", "The post invites readers to send in photos."]
     df = spark.createDataFrame([(t,) for t in refused + fine], "text STRING")
     assert [r.refused for r in answers.flag_refusals(df).collect()] == [True] * 5 + [False] * 2
 
