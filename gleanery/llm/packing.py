@@ -27,7 +27,7 @@ CAPACITY = 4096
 END_ID = 1
 BATCH_BYTES = 1 << 21
 #: Words a worker keeps the ids of; words met later are looked up anew in each batch.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 750_000
 #: Lengths (the most frequent) from which the inner members of longer patterns are taken.
 COMMON_LENGTHS = 24
 SWEEPS = 40
