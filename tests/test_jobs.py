@@ -288,9 +288,9 @@ def test_a_retry_batch_delivered_again_changes_nothing(spark, tmp_path):
 
 
 def test_registration_costs_the_same_over_many_batches(spark, now, tmp_path):
-    """Fourteen batches: few folders stay live, a batch opens its own buckets only, nothing is lost."""
+    """Eleven batches: few folders stay live, a batch opens its own buckets only, nothing is lost."""
     root = str(tmp_path)
-    for n in range(14):
+    for n in range(11):
         rows = [(2 * n + i, f"https://a.org/{max(0, 2 * n + i - 1)}") for i in range(2)]
         spark.createDataFrame(rows, "seq LONG, url STRING").coalesce(1).write.mode("append").json(f"{root}/in")
     writer = jobs.stream_register(stream_of_files(spark, f"{root}/in"), f"{root}/state", f"{root}/added", f"{root}/attention", Policy(), now)
@@ -299,7 +299,7 @@ def test_registration_costs_the_same_over_many_batches(spark, now, tmp_path):
     entries = log.manifest()[1]
     assert len([e for e in entries if e.kind != "gone"]) <= log.most_changes + 3
     got = [r.url for r in log.read().collect()]
-    assert sorted(got) == sorted({f"https://a.org/{i}" for i in range(27)})
+    assert sorted(got) == sorted({f"https://a.org/{i}" for i in range(21)})
     (bucket,) = log.touched(log.read().limit(1))
     plan = log.read(buckets=[bucket])._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan" in line]
