@@ -6,6 +6,7 @@ from collections import Counter
 from fractions import Fraction
 
 import duckdb
+import numpy as np
 import pytest
 
 from gleanery.llm import collocations
@@ -81,6 +82,27 @@ def test_small_stretches_and_slices(spark, monkeypatch):
     assert sum(len(c) for c in stretch.codes) == len(whole) + 1
 
 
+def test_a_bit_set_by_chance_hides_no_phrase():
+    """An earlier pass had the bit of a pair, but not that of its word: it never met the pair."""
+    stretch = collocations.Stretch("en")
+    stretch.add("a a a a. b c d")
+    word = collocations.word_hashes("en", [b"a"])
+    pair = int(collocations._mixed(word, word)[0]) >> (64 - collocations.BITS)
+    none, full = (np.full(1 << (collocations.BITS - 6), x, dtype=np.uint64) for x in (0, 2**64 - 1))
+    by_chance = none.copy()
+    by_chance[pair >> 6] = np.uint64(1) << np.uint64(pair & 63)
+
+    def found(before):
+        counts = stretch.counts(3, [none, full, full], before, False)
+        return {p.as_py(): int(t) for n, phrases, times in counts for p, t in zip(phrases, times, strict=True)}
+
+    every = {b"a a": 3, b"a a a": 2, b"b c": 1, b"c d": 1, b"b c d": 1}
+    assert found([]) == found([[none, none, by_chance]]) == found([[none, none, full]]) == every
+    assert found([[none, full, none]]) == {b"a a a": 2, b"b c d": 1}
+    assert found([[none, full, by_chance]]) == {b"b c d": 1}
+    assert found([[none, none, by_chance], [none, full, full]]) == {}
+
+
 def test_border_failures_lead_to_more_passes(spark):
     rows = rows_for(8)
     frequent, passes = collocations.frequent_phrases(documents(spark, rows), sample_one_in=2, sample_count=10**6)
