@@ -11,10 +11,13 @@ balanced blocks and joined to their run.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +35,26 @@ CACHE_WORDS = 750_000
 COMMON_LENGTHS = 24
 SWEEPS = 40
 
+#: The parts, by the tokenizer's own pattern, of a word of printable ASCII characters in small letters.
+_printable = re.compile(rb"[\x21-\x7e]+").fullmatch
+_parts = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+PROBE = "".join(map(chr, range(0x21, 0x7F))) + "ab'SCd'tx'Ree'veF'm're12'llo''d'!'s--'tis"
+
 _caches: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
+    """The tokenizer, the ids of words met, and its model if it parts printable words as ``_parts`` does."""
     if path not in _caches:
         from tokenizers import Tokenizer
 
-        _caches[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        model = None
+        if tokenizer.normalizer and tokenizer.pre_tokenizer:
+            split = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(PROBE))
+            if [p.encode() for p, _ in split] == _parts(PROBE.lower().encode()):
+                model = tokenizer.model
+        _caches[path] = (tokenizer, {}, model)
     return _caches[path]
 
 
@@ -51,27 +66,46 @@ def _words(text: bytes) -> list[bytes]:
     return text.split()
 
 
+def _ids_by_parts(words: list[bytes], known: dict[bytes, bytes], model) -> dict[bytes, bytes]:
+    """The ids of printable words, and of their parts, each of which is a word of its own."""
+    out: dict[bytes, bytes] = {}
+    for word in words:
+        found = []
+        for part in _parts(word.lower()):
+            ids = known.get(part) or out.get(part)
+            if ids is None:
+                tokens = [t.id for t in model.tokenize(part.decode())]
+                ids = out[part] = struct.pack(f"<{len(tokens)}I", *tokens)
+            found.append(ids)
+        out[word] = b"".join(found)
+    return out
+
+
 def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     """The ids of each text as little-endian 32-bit numbers.
 
     The tokenizer never joins across ASCII white space, so a text's ids are those of its
-    words in turn, and each word is looked up once.
+    words in turn, and each word is looked up once. Words of printable ASCII go part by part to the
+    tokenizer's model, which saves its work on single words; all others are encoded whole.
     """
-    tokenizer, known = _tokenizer(path)
+    tokenizer, known, model = _tokenizer(path)
     split = [_words(t) for t in texts]
-    parts = [[known.get(w) for w in words] for words in split]
-    new = list({w for words, found in zip(split, parts, strict=True) if None in found for w in words if w not in known})
+    # A small table of the batch's own words is quicker to look up in than the worker's large one.
+    here = {w: known.get(w) for w in set(chain.from_iterable(split))}
+    new = [w for w, ids in here.items() if ids is None]
     fresh: dict[bytes, bytes] = {}
+    if model is not None:
+        plain = [_printable(w) is not None and b"<|" not in w for w in new]
+        fresh = _ids_by_parts([w for w, p in zip(new, plain, strict=True) if p], known, model)
+        new = [w for w, p in zip(new, plain, strict=True) if not p]
     for i in range(0, len(new), 10_000):
         some = new[i : i + 10_000]
         ids = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
         fresh.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(some, ids, strict=True))
     if len(known) < CACHE_WORDS:
         known.update(fresh)
-    return [
-        b"".join([fresh[w] if f is None else f for w, f in zip(words, found, strict=True)] if None in found else found)
-        for words, found in zip(split, parts, strict=True)
-    ]
+    here.update(fresh)
+    return [b"".join(map(here.__getitem__, words)) for words in split]
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

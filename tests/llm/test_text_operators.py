@@ -297,3 +297,28 @@ def test_plans_place_every_piece(seed):
     assert seen == Counter((length, k) for length, n in counts.items() for k in range(n))
     assert max(load.values()) <= 100 and set(load) == set(range(sequences))
     assert packing.plan_runs({}, 100) == ([], 0)
+
+
+def test_printable_words_spare_the_tokenizer(monkeypatch):
+    """Their ids come part by part from its model, and are those of whole words."""
+    path = tokenizer_path()
+    tokenizer, _, model = packing._tokenizer(path)
+    asked = []
+
+    class Spy:
+        def encode_batch_fast(self, words, **kwargs):
+            asked.extend(words)
+            return tokenizer.encode_batch_fast(words, **kwargs)
+
+    monkeypatch.setitem(packing._caches, path, (Spy(), {}, model))
+    rng = random.Random(3)
+    words = ["".join(rng.choices("'sdtrevlm09azAZ_~!<>|.", k=rng.randrange(1, 9))) for _ in range(20_000)]
+    words = [w for w in words if "<|" not in w]
+    odd = ["Ünïcode", "áb", "x\x00y", "\x7f", "<|endoftext|>", "日本"]
+    texts = [" ".join(words), " ".join(odd[:1] + words[:50] + odd[2:]), odd[1] + " It'S HERE's", ""]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert packing.token_bytes([t.encode() for t in texts], path) == want
+    assert set(asked) <= {w.lower() for w in odd} | set(odd)
+    monkeypatch.setitem(packing._caches, path, (tokenizer, {}, None))
+    monkeypatch.setattr(packing, "CACHE_WORDS", 0)
+    assert packing.token_bytes([t.encode() for t in texts], path) == want
