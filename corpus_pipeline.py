@@ -20,7 +20,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a five-word shingle similarity of 0.8 or more the smallest id stays."""
+    """Of texts linked by a five-word shingle similarity of 0.8 or more the smallest id stays.
+
+    SimHash fingerprints and minwise bands say who is compared; the whole shingle sets decide.
+    """
     return similar.one_of_similar(docs)
 
 

@@ -65,7 +65,11 @@ def shingle_hashes(text: bytes, shingle_words: int) -> np.ndarray:
 
 def several_fingerprints(text: bytes, shingle_words: int, count: int) -> list[int]:
     """Fingerprints of one text by ``count`` independent hashes; the first is the plain one."""
-    hashes = shingle_hashes(text, shingle_words)
+    return fingerprints_of(shingle_hashes(text, shingle_words), count)
+
+
+def fingerprints_of(hashes: np.ndarray, count: int) -> list[int]:
+    """Fingerprints of a text's shingle hashes, repeats included."""
     if not len(hashes):
         return [0] * count
     out = []
@@ -288,9 +292,8 @@ def _classes(prints: DataFrame, radius: int = RADIUS, crowded: int = CROWDED) ->
     return named.join(least, "root").select("fp", "root", "component_id")
 
 
-def _joint_classes(prints: DataFrame, radius: int, crowded: int) -> DataFrame:
-    """(node, root) of texts, as hashes of all their fingerprints, linked by any of these."""
-    nodes = staged(prints.select("node", "fps").dropDuplicates(["node"]), "simhash-nodes")
+def joint_links(nodes: DataFrame, radius: int = RADIUS, crowded: int = CROWDED) -> DataFrame:
+    """(a, b) edges that connect the nodes (node, fps) linked by any of their fingerprints."""
     each = nodes.select("node", F.posexplode("fps").alias("k", "fp")).withColumn("k", F.col("k").cast("long"))
     named = staged(each.groupBy("k", "fp").agg(F.min("node").alias("rep")), "simhash-reps")
     equal = each.join(named, ["k", "fp"]).filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
@@ -298,7 +301,13 @@ def _joint_classes(prints: DataFrame, radius: int, crowded: int) -> DataFrame:
     one = named.select("k", F.col("fp").alias("a"), F.col("rep").alias("x"))
     other = named.select("k", F.col("fp").alias("b"), F.col("rep").alias("y"))
     near = met.join(one, ["k", "a"]).join(other, ["k", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = components(equal.unionByName(near))
+    return equal.unionByName(near)
+
+
+def _joint_classes(prints: DataFrame, radius: int, crowded: int) -> DataFrame:
+    """(node, root) of texts, as hashes of all their fingerprints, linked by any of these."""
+    nodes = staged(prints.select("node", "fps").dropDuplicates(["node"]), "simhash-nodes")
+    roots = components(joint_links(nodes, radius, crowded))
     return nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 

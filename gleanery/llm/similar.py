@@ -1,15 +1,19 @@
-"""Near copies by the exact Jaccard similarity of their word shingles.
+"""Near copies by SimHash and minwise bands, linked by the exact Jaccard similarity of their word shingles.
 
 Two texts link when their sets of five-word shingles have a similarity of 0.8 or more. A class
 is what links connect; of each class one row stays. Nothing that is less similar links.
 
-* Texts with equal sets are one node. A node has 160 minwise hashes, cut into 32 bands of five.
+* Texts with equal sets are one node. Nodes that may link are sought in two ways.
+* By SimHash, as in ``simhash.py``: a node has eight independent 64-bit fingerprints, and nodes meet when
+  the ring search finds any of them within four bits. At similarity 0.9 that is nearly every pair; at
+  0.8 about 10 of 64 bits differ, which only some pairs stay below.
+* By minwise bands, for the pairs too far apart for the ring: 160 minwise hashes in 32 bands of five.
   Nodes that share a band meet: a pair at similarity 0.8 does so with probability
-  1 - (1 - 0.8 ** 5) ** 32, which leaves out 3 in a million, and fewer above.
-* Where nodes meet, their set sizes and one bit of each minwise hash are compared. At 0.8, 16 of
-  160 bits differ on average, with deviation 3.8; up to 36 pass. What passes forms coarse classes.
-* The texts of a coarse class with several nodes meet once more, and links are decided on the
-  whole sets. Coarse classes only say who may be compared; they delete nothing.
+  1 - (1 - 0.8 ** 5) ** 32, which leaves out 3 in a million, and fewer above. There, set sizes and one
+  bit of each minwise hash are compared. At 0.8, 16 of 160 bits differ on average, with deviation
+  3.8; up to 36 pass.
+* What meets in either way forms coarse classes. The texts of one with several nodes meet once more, and
+  links are decided on the whole sets. Coarse classes only say who may be compared; they delete nothing.
 * Groups beyond a size are cut into slices that meet pair by pair. In a task, a node that is
   linked is never compared again with its own class, and a spanning forest is all that leaves.
 """
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import staged
-from gleanery.llm.simhash import SEED, _union, _with_end, components, shingle_hashes
+from gleanery.llm.simhash import RADIUS, SEED, STAGE_HASHES, _union, _with_end, components, fingerprints_of, joint_links, shingle_hashes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -63,28 +67,30 @@ def minwise(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marked(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(doc_id, _h, _k, node, n, sketch, keys): the node is a hash of the set, n its size."""
+    """(doc_id, _h, _k, node, n, fps, sketch, keys): the node is a hash of the set, n its size."""
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            nodes, sizes, sketches, keys = [], [], [], []
+            nodes, sizes, fps, sketches, keys = [], [], [], [], []
             for text in frame.column(1).cast(pa.large_binary()):
-                shingles = shingle_set(text.as_py() or b"", shingle_words)
+                hashes = shingle_hashes(text.as_py() or b"", shingle_words)
+                shingles = np.unique(hashes)
+                fps.append(fingerprints_of(hashes, STAGE_HASHES))
                 key, sketch = minwise(shingles)
                 nodes.append(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
                 sizes.append(len(shingles))
                 sketches.append(sketch)
                 keys.append(key)
             lists = []
-            for values, width in ((sketches, 3), (keys, BANDS)):
+            for values, width in ((fps, STAGE_HASHES), (sketches, 3), (keys, BANDS)):
                 flat = pa.array(np.array(values, dtype=np.uint64).reshape(-1).view(np.int64))
                 lists.append(pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, width), pa.int32()), flat))
             node = pa.array(np.array(nodes, dtype=np.uint64).view(np.int64))
             columns = [frame.column(0), frame.column(2), frame.column(3), node, pa.array(sizes, pa.int64()), *lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_h", "_k", "node", "n", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_h", "_k", "node", "n", "fps", "sketch", "keys"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "_h", "_k")
-    schema = "doc_id long, _h long, _k long, node long, n long, sketch array<long>, keys array<long>"
+    schema = "doc_id long, _h long, _k long, node long, n long, fps array<long>, sketch array<long>, keys array<long>"
     return narrow.mapInArrow(batches, schema)
 
 
@@ -233,10 +239,15 @@ def one_of_similar(
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_h", "_k"))
     # Of a node's rows, the best stands for all: its text has the node's set.
     same = prints.groupBy("node").agg(
-        best.alias("best"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")
+        best.alias("best"),
+        F.first("n").alias("n"),
+        F.min("fps").alias("fps"),
+        F.first("sketch").alias("sketch"),
+        F.first("keys").alias("keys"),
     )
     nodes = staged(same, "similar-nodes")
-    coarse = components(_coarse_edges(nodes, similarity, crowded))
+    near = joint_links(nodes.select("node", "fps"), RADIUS, crowded)
+    coarse = components(near.unionByName(_coarse_edges(nodes, similarity, crowded)))
     coarse = coarse.unionByName(coarse.select(F.col("root").alias("node"), "root").distinct())
     members = staged(nodes.join(coarse, "node").select("node", "n", "root", "best._h", "best._k"), "similar-coarse")
     cut = F.greatest(_cut(F.sum("n"), SLICE_SHINGLES), _cut(F.count("*"), crowded))

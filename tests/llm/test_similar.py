@@ -50,6 +50,15 @@ def test_the_stage_links_all_at_08(spark):
     assert got == brute_force(rows) == {3 * n for n in range(60)}
 
 
+def test_fingerprints_alone_find_close_copies(spark, monkeypatch):
+    """The SimHash search is part of the stage: without any band it still finds pairs above 0.95."""
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(similar, "_coarse_edges", lambda *_: none)
+    rows = families(6, 40, 450, [1, 2]) + [(200 + n, prose(200 + n, 300), "s") for n in range(20)]
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, documents(spark, rows), "").collect()}
+    assert got == brute_force(rows) == {3 * n for n in range(40)} | {200 + n for n in range(20)}
+
+
 def test_awkward_rows(spark):
     docs = documents(spark, awkward())
     out = corpus_pipeline.drop_near_copies(spark, docs, "")
