@@ -167,11 +167,11 @@ def mix_sources(
 
 
 def taken_words(mixture: Mixture) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken), a row per document."""
+    """(doc_id, size, source_size, target, taken, source), a row per document."""
     taken = mixture.pieces.groupBy("_s", "_row").agg(F.sum("words").alias("taken"))
     joined = mixture.rows.join(taken, ["_s", "_row"], "left")
     return joined.select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "source"
     )
 
 
